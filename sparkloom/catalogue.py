@@ -1,8 +1,202 @@
-"""The registered queries and their SQL."""
+"""The registered queries, over whole tables, and SQL with the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom import sources
+from sparkloom.operators import degree, edges, helpers, knn, ml, triangles
+from sparkloom.plans import kmeans, pagerank, paths
+
+#: Bounds of the filters, the chain graph's k and passes, the source vertex, clusters, neighbours.
+BOUND, LEXICAL, CHAIN, PASSES, SOURCE, CLUSTERS, NEIGHBOURS = 200, "6", 12, 10, 0, 4, 3
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+EDGES = """edges AS (SELECT l_orderkey % 1000 AS follower, l_partkey % 1000 AS "user" FROM lineitem)"""
+NEAR = f"""{EDGES}, near AS (SELECT * FROM edges WHERE follower < {BOUND} AND "user" < {BOUND})"""
+HOPS = "hops AS (SELECT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_totalprice < 200000)"
+COUNTS = "counts AS (SELECT row_number() OVER () AS rid, n FROM (SELECT floor(l_extendedprice / 500) AS u, count(*) AS n FROM lineitem GROUP BY 1))"
+TXN = """txn AS (SELECT o_orderkey AS txn_id, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS step,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'PAYMENT' WHEN '2-HIGH' THEN 'TRANSFER' WHEN '3-MEDIUM' THEN 'CASH_OUT' WHEN '4-NOT SPECIFIED' THEN 'DEBIT' ELSE 'CASH_IN' END AS type,
+  o_totalprice AS amount, 'C' || o_custkey AS nameOrig, c_acctbal AS oldBalOrg, c_acctbal - o_totalprice AS newBalOrg,
+  'M' || (o_orderkey % 1000) AS nameDest, 0.0::DOUBLE AS oldBalDest, o_totalprice AS newBalDest,
+  CASE WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') AND o_totalprice > 350000 THEN 1 ELSE 0 END AS isFraud,
+  CASE WHEN o_orderpriority = '2-HIGH' AND o_totalprice > 450000 THEN 1 ELSE 0 END AS isFlagged
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+# ------------------------------------------------ degrees and filters
+for _s in ("reduce", "group", "fold", "aggregate", "count", "combiner"):
+    _add(f"follower_count_{_s}", lambda s, d, how=_s: degree.follower_count(sources.edges(s, d), how), f'WITH {EDGES} SELECT "user", count(*) AS n FROM edges GROUP BY 1')
+_add("max_filter_numeric", lambda s, d: edges.max_filter(sources.edges(s, d), BOUND), f"WITH {NEAR} SELECT * FROM near")
+_add("max_filter_lexical", lambda s, d: edges.max_filter(sources.edges(s, d), LEXICAL, "lexical"), f"""WITH {EDGES} SELECT * FROM edges WHERE follower::VARCHAR < '{LEXICAL}' AND "user"::VARCHAR < '{LEXICAL}'""")
+_add("edges_swapped", lambda s, d: edges.swapped(sources.edges(s, d)), f'WITH {EDGES} SELECT "user", follower FROM edges')
+_add("edges_tagged", lambda s, d: edges.tagged(sources.edges(s, d)), f"""WITH {EDGES} SELECT "user" AS key, 'T' AS tag, follower AS other FROM edges UNION ALL SELECT follower, 'F', "user" FROM edges""")
+_add("adjacency", lambda s, d: edges.adjacency(sources.edges(s, d)), f"""WITH {EDGES} SELECT follower, string_agg("user"::VARCHAR, ' ' ORDER BY "user") AS neighbors FROM edges GROUP BY 1""")
+
+
+# ------------------------------------------------ paths of two edges, triangles
+def _near(s: SparkSession, d: str) -> DataFrame:
+    return edges.max_filter(sources.edges(s, d), BOUND)
+
+
+def _triangles(source: str) -> str:
+    return f"""WITH {NEAR}, own AS ({source})
+SELECT CAST(count(*) // 3 AS BIGINT) AS triangles FROM own a JOIN own b ON a."user" = b.follower AND a.follower <> b."user"
+JOIN own c ON b."user" = c.follower AND c."user" = a.follower"""
+
+
+_add("path2", lambda s, d: triangles.path2(_near(s, d)), f"""WITH {NEAR} SELECT a.follower AS follower1, b."user" AS user2, count(*) AS n FROM near a JOIN near b ON a."user" = b.follower AND a.follower <> b."user" GROUP BY 1, 2""")
+for _n, _s in (("df", "auto"), ("merge", "merge"), ("broadcast", "broadcast")):
+    _add(f"triangles_{_n}", lambda s, d, how=_s: triangles.triangles(_near(s, d), how), _triangles("SELECT * FROM near"))
+_add("triangles_clean", lambda s, d: triangles.triangles(_near(s, d), distinct=True, drop_self_loops=True), _triangles('SELECT DISTINCT * FROM near WHERE follower <> "user"'))
+
+# ------------------------------------------------ PageRank
+_N = CHAIN * CHAIN
+_GRAPH = f"graph AS (SELECT v AS vertex, CASE WHEN v % {CHAIN} = 0 THEN 0 ELSE v + 1 END AS destination FROM range(1, {_N + 1}) t(v))"
+
+
+def _rank_sql(tail: str) -> str:
+    out = f"WITH {_GRAPH}, r0 AS (SELECT v AS vertex, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE {1 / _N!r}::DOUBLE END AS rank FROM range(0, {_N + 1}) t(v))"
+    for i in range(1, PASSES + 1):
+        out += f""",
+i{i} AS MATERIALIZED (SELECT destination, sum(rank) AS got FROM graph JOIN r{i - 1} USING (vertex) GROUP BY 1),
+r{i} AS MATERIALIZED (SELECT vertex, CASE WHEN vertex = 0 THEN 0.0::DOUBLE ELSE coalesce(got, 0.0) + coalesce((SELECT got FROM i{i} WHERE destination = 0), 0.0) / {_N} END AS rank FROM r{i - 1} LEFT JOIN i{i} ON vertex = destination)"""
+    return f"{out}\n{tail}"
+
+
+def _nine(column: str) -> F.Column:
+    return F.floor(F.col(column) * 1e9 + 0.5).cast("double") / 1e9
+
+
+_add("chain_graph", lambda s, d: sources.chain_graph(s, CHAIN), f"WITH {_GRAPH} SELECT vertex, destination::BIGINT AS destination FROM graph")
+_add("pagerank", lambda s, d: pagerank.pagerank(sources.chain_graph(s, CHAIN), sources.chain_ranks(s, CHAIN), _N, PASSES).select("vertex", _nine("rank").alias("rank")), _rank_sql(f"SELECT vertex, floor(rank * 1e9 + 0.5) / 1e9 AS rank FROM r{PASSES}"))
+_add("pagerank_mass", lambda s, d: pagerank.masses(sources.chain_graph(s, CHAIN), sources.chain_ranks(s, CHAIN), _N, PASSES).select("iteration", _nine("mass").alias("mass")), _rank_sql(" UNION ALL ".join(f"SELECT {i}::BIGINT AS iteration, floor(sum(rank) * 1e9 + 0.5) / 1e9 AS mass FROM r{i}" for i in range(1, PASSES + 1))))
+
+# ------------------------------------------------ shortest paths
+_REACH = f"WITH RECURSIVE {HOPS}, reach(id, d) AS (SELECT {SOURCE}::BIGINT, 0::BIGINT UNION SELECT dst, d + 1 FROM reach JOIN hops ON src = id WHERE d < 40), best AS (SELECT id, min(d) AS d FROM reach GROUP BY 1)"
+_add("sssp", lambda s, d: paths.shortest_paths(sources.hops(s, d), SOURCE), f"{_REACH} SELECT id, d FROM best")
+_add("eccentricity", lambda s, d: paths.eccentricity(sources.hops(s, d), SOURCE), f"{_REACH} SELECT 'Diameter' AS name, max(d) AS n FROM best HAVING max(d) > 0")
+_add("relax_once", lambda s, d: paths.relax(sources.hops(s, d), s.range(1).select(F.lit(SOURCE).cast("long").alias("id"), F.lit(0).cast("long").alias("d"))), f"WITH {HOPS} SELECT dst AS id, min(1)::BIGINT AS d FROM hops WHERE src = {SOURCE} GROUP BY 1")
+
+
+# ------------------------------------------------ k-means
+def _start(s: SparkSession, d: str, good: bool) -> tuple[DataFrame, list[float]]:
+    counts = sources.buckets(s, d)
+    low, high = kmeans.extremes(counts)
+    return counts, kmeans.good_start(low, high, CLUSTERS) if good else kmeans.offset_start(low, CLUSTERS)
+
+
+_INIT = {
+    True: f"SELECT floor((lo + (hi - lo) / {CLUSTERS} / 2 + (hi - lo) / {CLUSTERS} * j) * 1000 + 0.5) / 1000 AS c FROM (SELECT min(n) AS lo, max(n) AS hi FROM counts), range(0, {CLUSTERS}) t(j)",
+    False: f"SELECT (lo + 100 * j)::DOUBLE AS c FROM (SELECT min(n) AS lo FROM counts), range(1, {CLUSTERS + 1}) t(j)",
+}
+
+
+def _kmeans_sql(good: bool, tail: str) -> str:
+    out = f"WITH {COUNTS}, c0 AS MATERIALIZED ({_INIT[good]})"
+    for i in range(1, PASSES + 1):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT n, c FROM counts, c{i - 1} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY abs(c - n), c) = 1),
+g{i} AS MATERIALIZED (SELECT c, floor(sum(n)::DOUBLE / count(*) * 1000 + 0.5) / 1000 AS new, floor(sum(abs(c - n)) * 1000 + 0.5) / 1000 AS sae FROM a{i} GROUP BY 1),
+c{i} AS MATERIALIZED (SELECT DISTINCT new AS c FROM g{i})"""
+    totals = " UNION ALL ".join(f"SELECT {i}::BIGINT AS pass, sum(floor(sae))::BIGINT AS sae FROM g{i}" for i in range(1, PASSES + 1))
+    ends = " UNION ALL ".join(f"SELECT {i} AS pass, c FROM c{i}" for i in range(1, PASSES + 1))
+    return f"""{out}, totals AS ({totals}), ends AS ({ends}),
+stop AS (SELECT coalesce(min(b.pass), {PASSES}) AS last FROM totals a JOIN totals b ON b.pass = a.pass + 1 AND a.sae = b.sae)
+{tail}"""
+
+
+def _centroids(s: SparkSession, d: str, good: bool) -> DataFrame:
+    centroids, _ = kmeans.kmeans(*_start(s, d, good), PASSES)
+    return s.createDataFrame([(c,) for c in centroids], "centroid double")
+
+
+def _history(s: SparkSession, d: str) -> DataFrame:
+    _, totals = kmeans.kmeans(*_start(s, d, True), PASSES)
+    return s.createDataFrame(list(enumerate(totals, 1)), "pass long, sae long")
+
+
+for _n, _good in (("good", True), ("bad", False)):
+    _add(f"kmeans_init_{_n}", lambda s, d, g=_good: s.createDataFrame([(c,) for c in _start(s, d, g)[1]], "centroid double"), f"WITH {COUNTS} SELECT c AS centroid FROM ({_INIT[_good]})")
+    _add(f"kmeans_{_n}", lambda s, d, g=_good: _centroids(s, d, g), _kmeans_sql(_good, "SELECT c AS centroid FROM ends, stop WHERE pass = last"))
+_add("kmeans_assign", lambda s, d: kmeans.assign(*_start(s, d, True)).groupBy("centroid").agg(F.count("*").alias("members"), F.sum("n").alias("total")), f"WITH {COUNTS}, c0 AS ({_INIT[True]}), a AS (SELECT n, c FROM counts, c0 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY abs(c - n), c) = 1) SELECT c AS centroid, count(*) AS members, sum(n)::BIGINT AS total FROM a GROUP BY 1")
+_add("kmeans_sae_history", _history, _kmeans_sql(True, "SELECT pass, sae FROM totals, stop WHERE pass <= last"))
+
+# ------------------------------------------------ nearest neighbours
+_SIDES = f"{TXN}, test AS (SELECT * FROM txn WHERE txn_id % 75 = 0), train AS (SELECT * FROM txn WHERE txn_id % 5 <> 0)"
+_DIST = f"""{_SIDES}, dists AS (SELECT t.txn_id AS id, (CASE WHEN r.type = t.type THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) + abs(r.amount - t.amount) + (CASE WHEN r.nameOrig = t.nameOrig THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS dist, max(r.isFraud) AS cls
+  FROM train r, test t GROUP BY 1, 2)"""
+_TOP = f"{_DIST}, near AS (SELECT id, dist, cls, row_number() OVER (PARTITION BY id ORDER BY dist) AS rank FROM dists QUALIFY rank <= {NEIGHBOURS})"
+_VOTE = f"{_TOP}, votes AS (SELECT id, cls, count(*) AS v FROM near GROUP BY 1, 2), pred AS (SELECT id, cls AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY v DESC, cls) = 1)"
+_OUT = f"{_VOTE}, shown AS (SELECT txn_id, type, amount, nameOrig, isFraud, prediction FROM pred JOIN test ON id = txn_id)"
+
+
+def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Training rows (four fifths) and the stated test rows."""
+    rows = sources.transactions(s, d)
+    return rows.filter("txn_id % 5 <> 0"), rows.filter("txn_id % 75 = 0")
+
+
+def _shown(s: SparkSession, d: str) -> DataFrame:
+    train, test = _sides(s, d)
+    return knn.labelled(knn.knn(train, test, NEIGHBOURS), test)
+
+
+_add("knn_distances", lambda s, d: knn.distances(*_sides(s, d)).groupBy("id").agg(F.count("*").alias("n"), F.min("dist").alias("least"), F.max("dist").alias("most")), f"WITH {_DIST} SELECT id, count(*) AS n, min(dist) AS least, max(dist) AS most FROM dists GROUP BY 1")
+_add("knn_topk", lambda s, d: knn.nearest(knn.distances(*_sides(s, d)), NEIGHBOURS), f"WITH {_TOP} SELECT * FROM near")
+for _s in ("shuffle", "topk"):
+    _add(f"knn_predict_{_s}", lambda s, d, how=_s: knn.knn(*_sides(s, d), NEIGHBOURS, how), f"WITH {_VOTE} SELECT * FROM pred")
+_add("knn_output", _shown, f"WITH {_OUT} SELECT * FROM shown")
+_add("knn_confusion", lambda s, d: knn.confusion(_shown(s, d)), f"WITH {_OUT} SELECT count(*) FILTER (isFraud = 1 AND prediction = 1) AS tp, count(*) FILTER (isFraud = 0 AND prediction = 1) AS fp, count(*) FILTER (isFraud = 0 AND prediction = 0) AS tn, count(*) FILTER (isFraud = 1 AND prediction = 0) AS fn FROM shown")
+
+# ------------------------------------------------ helpers
+_add("test_ids", lambda s, d: helpers.row_ids(_sides(s, d)[1].select("txn_id"), "txn_id"), f"WITH {_SIDES} SELECT txn_id, 10000 + row_number() OVER (ORDER BY txn_id) AS id FROM test")
+_add("amount_min_max", lambda s, d: helpers.amount_extremes(sources.transactions(s, d)), f"WITH {TXN} SELECT min(trunc(amount))::INTEGER AS min_amount, max(trunc(amount))::INTEGER AS max_amount FROM txn")
+_add("txn_encoded", lambda s, d: helpers.encoded(sources.transactions(s, d)), f"""WITH {TXN} SELECT txn_id, step::DOUBLE AS step, (CASE type WHEN 'PAYMENT' THEN 4 WHEN 'TRANSFER' THEN 5 WHEN 'DEBIT' THEN 3 WHEN 'CASH_IN' THEN 1 WHEN 'CASH_OUT' THEN 2 ELSE 0 END)::DOUBLE AS type, amount,
+substr(nameOrig, 2)::DOUBLE AS nameOrig, oldBalOrg, newBalOrg, substr(nameDest, 2)::DOUBLE AS nameDest, oldBalDest, newBalDest, isFlagged::DOUBLE AS isFlagged, isFraud::DOUBLE AS isFraud FROM txn""")
+
+
+def _split_counts(s: SparkSession, d: str, parts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    both = parts[0].withColumn("part", F.lit("train")).unionByName(parts[1].withColumn("part", F.lit("test")))
+    return both.groupBy("part", "isFraud").agg(F.count("*").alias("n"))
+
+
+def _stratified(s: SparkSession, d: str) -> DataFrame:
+    rows = sources.transactions(s, d)
+    sides = [helpers.split(rows.filter(F.col("isFraud") == v), "txn_id", 70) for v in (0, 1)]
+    return _split_counts(s, d, tuple(a.unionByName(b) for a, b in zip(*sides, strict=True)))
+
+
+def _part_sql(percent: int) -> str:
+    return f"WITH {TXN} SELECT CASE WHEN txn_id % 100 < {percent} THEN 'train' ELSE 'test' END AS part, isFraud, count(*) AS n FROM txn GROUP BY 1, 2"
+
+
+_add("split_80_20", lambda s, d: _split_counts(s, d, helpers.split(sources.transactions(s, d), "txn_id", 80)), _part_sql(80))
+_add("split_stratified", _stratified, _part_sql(70))
+
+# ------------------------------------------------ tree ensembles: models aren't SQL
+for _n in ml.MODELS:
+    _add(f"ml_{_n}", lambda s, d, m=_n: ml.evaluated(helpers.encoded(sources.transactions(s, d)), m))
+
+
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    out = None
+    for m in ml.MODELS:
+        row = QUERIES[f"ml_{m}"](s, d).select("model", F.col("auc" if m == "random_forest" else "accuracy").alias("score"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+_add("ml_summary", _summary)
