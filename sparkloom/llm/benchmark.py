@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, mix, read, shingle_hashes, slices, word_hashes
+from .common import NON_WORD, mix, read, shingle_hashes, slices, tidy, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 #: Two windows that share 0.8 differ in 13 of 64 bits on average, 3.2 the standard deviation; this is 3 of these more.
@@ -139,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         out += [(ids[row].as_py(), own.ids[i], s, at) for i, s, at in own.search(got[a:z], hit[a:z])]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "similarity", "first_word"])
 
-        found = texts.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+        found = texts.mapInArrow(tidy(run), "doc_id long, item_id long, similarity double, first_word long")
         out = found if out is None else out.union(found)
     return out
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, slices
+from .common import read, slices, tidy
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens that each of a worker's two generations of memory holds; the older goes when the younger is full.
@@ -263,7 +263,7 @@ def encode(docs: DataFrame, keep: list[str], rank_file: str | None = None, patte
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

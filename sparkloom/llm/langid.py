@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, _odd, buffers, hasher, read, runs, slices
+from .common import NON_WORD, _odd, buffers, hasher, read, runs, slices, tidy
 
 #: Bytes of a piece, units in each direction, sampled documents of a language, pieces learned from, passes over them.
 PIECE, HIDDEN, TRAIN_DOCS, TRAIN_PIECES, PASSES = 16, 12, 256, 48_000, 3
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, network: Network | None, keep: list[str]) -> DataF
                 names, scores = predict(network, part.column("__text"))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(tidy(run), f"{kept}, lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

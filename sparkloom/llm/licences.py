@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import NON_WORD, _odd, read, shingle_hashes, slices, word_hashes
+from .common import NON_WORD, _odd, read, shingle_hashes, slices, tidy, word_hashes
 
 WORDS, CONTAINED, BANDS = 5, 0.8, 32
 #: Shingles that are hashed at once.
@@ -101,7 +101,7 @@ def find_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
                 out = [(ids[row], own.names[i], share, int(at[spot] - first[row])) for (row, i), (share, spot) in sorted(own.search(got, of).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.float64(), pa.int64()))], ["doc_id", "licence", "containment", "first_word"])
 
-    return texts.mapInArrow(run, "doc_id long, licence string, containment double, first_word long")
+    return texts.mapInArrow(tidy(run), "doc_id long, licence string, containment double, first_word long")
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, buffers, checkpoint, hasher, read, slices, small
+from .common import WHITE, buffers, checkpoint, hasher, read, slices, small, tidy
 
 LEAST_LENGTH, LEAST_DOCUMENTS = 20, 3
 #: Bits of a filter at most, bits for each 64 bytes of text, and bits that a key sets.
@@ -104,7 +104,7 @@ def twice_filter(docs: DataFrame, least: int, bits: int) -> bytes:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(t.tobytes(), 1) for _, t in held.values()], pa.binary())], ["segment", "twice"])
 
-    parts = docs.mapInArrow(gather, "segment int, once binary, twice binary").repartition(SEGMENTS, "segment").mapInArrow(merge, "segment int, twice binary")
+    parts = docs.mapInArrow(tidy(gather), "segment int, once binary, twice binary").repartition(SEGMENTS, "segment").mapInArrow(tidy(merge), "segment int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     for s, t in parts.collect():  # at most FILTER_BITS / 8 bytes
         out[s * step // 8 : (s + 1) * step // 8] = np.frombuffer(zlib.decompress(t), np.uint8)
@@ -130,7 +130,7 @@ def shared_lines(docs: DataFrame, least: int, documents: int, filter_bits: int)
                 ids = part.column("__id").take(pa.array(rows[own]))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(got[h][own].view(np.int64)) for h in ("h1", "h2"))], ["doc_id", "h1", "h2"])
 
-    found = docs.filter("__id is not null").mapInArrow(suspects, "doc_id long, h1 long, h2 long")
+    found = docs.filter("__id is not null").mapInArrow(tidy(suspects), "doc_id long, h1 long, h2 long")
     found = checkpoint(found.distinct())
     common = checkpoint(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")).filter(F.col("n") >= documents).select("h1", "h2", "holder"))
     return checkpoint(found.join(small(common), ["h1", "h2"]).filter("doc_id <> holder").select("doc_id", "h1"))
@@ -177,7 +177,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_LENGTH, documents: int = LEA
                     texts = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*[texts if c == "text" else part.column(c) for c in keep], pa.array(n_lines.astype(np.int64)), pa.array(dropped)], [*keep, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run, f"{kept}, n_lines long, n_dropped long")
+    return joined.mapInArrow(tidy(run), f"{kept}, n_lines long, n_dropped long")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

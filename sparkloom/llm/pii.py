@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, slices
+from .common import read, slices, tidy
 from .secrets import digest_columns
 
 KINDS = ("email", "ip", "card", "phone", "ssn")
@@ -368,7 +368,7 @@ def scan(docs: DataFrame, keep: list[str], model: Field | None = None) -> DataFr
                 found = [[{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in find_pii(t, model)] for t in part.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, kind)], [*keep, "spans"])
 
-    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(run, f"{kept}, spans array<struct<kind string, start long, end long, base boolean>>")
+    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(tidy(run), f"{kept}, spans array<struct<kind string, start long, end long, base boolean>>")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, slices
+from .common import read, slices, tidy
 
 # The three base rules, and public formats of tokens.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -135,7 +135,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
                 found = [[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t)] for t in part.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, kind)], [*keep, "spans"])
 
-    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(run, f"{kept}, spans array<struct<kind string, start long, end long>>")
+    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(tidy(run), f"{kept}, spans array<struct<kind string, start long, end long>>")
 
 
 def digest_columns(spans: DataFrame, base: tuple[str, ...]) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, slices
+from .common import read, slices, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -115,7 +115,7 @@ def count_tokens(docs: DataFrame, keep: list[str], path: str | None = None, limi
                 n_bytes = pc.fill_null(pc.binary_length(part.column("__text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], n_bytes, pa.array(counts), pa.array(counts > limit)], [*keep, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(run, f"{kept}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(tidy(run), f"{kept}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, tidy
 
 SCALE = 64
 #: Rows of a broadcast block of queries, of a block of candidates, and of queries worked on at once.
@@ -149,7 +149,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vector: str = "embed
                     ids = np.broadcast_to(query_ids[a : a + 2048, None], real.shape)
                     yield pa.RecordBatch.from_arrays([pa.array(x[real]) for x in (ids, of[a : a + 2048], scores[a : a + 2048])], ["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        part = rows.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
         found = part if found is None else found.union(part)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
