@@ -24,7 +24,7 @@ from .common import read, slices, tidy
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens that each of a worker's two generations of memory holds; the older goes when the younger is full.
-MEMO = 300_000
+MEMO = 200_000
 #: Elements of the tree matrices that are worked on at once: what a core's cache holds.
 MATRIX = 1 << 16
 
@@ -52,8 +52,9 @@ class BpeCodec:
                     merged.append(rank)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int64)[order]
-        self.memo: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        self.text_of = {str(v): k for k, v in ranks.items()}
+        self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's merged token, -1 if there is none."""
@@ -190,7 +191,7 @@ class BpeCodec:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Puts the pieces into the memo: ids as text, and the bytes that the ids decode to."""
+        """Puts the pieces' ids, as text, into the memo."""
         if len(self.memo) > MEMO:
             self.older, self.memo = self.memo, {}
         memo, older = self.memo, self.older
@@ -201,12 +202,12 @@ class BpeCodec:
             else:
                 new.append(p)
         for p, ids in zip(new, self.encode_pieces([p.encode() for p in new]), strict=True):
-            memo[p] = (",".join(map(str, ids)), self.decode(ids))
+            memo[p] = ",".join(map(str, ids))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.find(text)
         self.learn(set(pieces))
-        return [int(x) for p in pieces for x in self.memo[p][0].split(",")]
+        return [int(x) for p in pieces for x in self.memo[p].split(",")]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -250,13 +251,13 @@ def encode(docs: DataFrame, keep: list[str], rank_file: str | None = None, patte
                 memo = own.memo
                 counts, digests, decoded, ids = [], [], [], []
                 for pieces in found:
-                    got = [memo[p] for p in pieces]
-                    joined = ",".join([g[0] for g in got])
-                    counts.append(joined.count(",") + 1 if joined else 0)
+                    joined = ",".join(map(memo.__getitem__, pieces))
+                    each = joined.split(",") if joined else []
+                    counts.append(len(each))
                     digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([g[1] for g in got])).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(own.text_of.__getitem__, each))).hexdigest())
                     if with_ids:
-                        ids.append(np.array(joined.split(",") if joined else [], np.int32))
+                        ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
                 columns = [part.column(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
