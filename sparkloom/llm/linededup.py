@@ -24,7 +24,7 @@ from .common import WHITE, buffers, checkpoint, hasher, read, slices, small, tid
 
 LEAST_LENGTH, LEAST_DOCUMENTS = 20, 3
 #: Bits of a filter at most, bits for each 64 bytes of text, and bits that a key sets.
-FILTER_BITS, BITS_EACH, HASHES = 1 << 26, 8, 3
+FILTER_BITS, BITS_EACH, HASHES = 1 << 25, 8, 3
 SEGMENTS = 64
 #: Dropped lines (document and hash) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
