@@ -14,13 +14,15 @@ TEST_BLOCK = 20_000
 def distances(train: DataFrame, test: DataFrame) -> DataFrame:
     """id, dist, cls: the largest class at each distinct distance. Test rows are a stated set, broadcast in blocks.
 
-    Distance: type mismatch + |amount difference| + party mismatch, added in this order.
+    Distance: type mismatch + |amount difference| + party mismatch, added in this order. A test row with a column `bound`
+    meets only training rows whose amounts differ by no more.
     """
     blocks = max(1, -(-test.count() // TEST_BLOCK))
     out = None
     for b in range(blocks):
-        asked = test.filter(F.pmod(F.xxhash64("txn_id"), F.lit(blocks)) == b).select(F.col("txn_id").alias("id"), F.col("type").alias("t"), F.col("amount").alias("a"), F.col("nameOrig").alias("p"))
-        pairs = train.select("type", "amount", "nameOrig", "isFraud").join(F.broadcast(asked))
+        asked = test.filter(F.pmod(F.xxhash64("txn_id"), F.lit(blocks)) == b).select(F.col("txn_id").alias("id"), F.col("type").alias("t"), F.col("amount").alias("a"), F.col("nameOrig").alias("p"), *[c for c in test.columns if c == "bound"])
+        near = F.abs(F.col("amount") - F.col("a")) <= F.col("bound") if "bound" in test.columns else None
+        pairs = train.select("type", "amount", "nameOrig", "isFraud").join(F.broadcast(asked), near)
         dist = mismatch(F.col("type"), F.col("t")) + F.abs(F.col("amount") - F.col("a")) + mismatch(F.col("nameOrig"), F.col("p"))
         part = pairs.select("id", dist.alias("dist"), F.col("isFraud").alias("cls"))
         out = part if out is None else out.union(part)
@@ -45,8 +47,24 @@ def vote(neighbours: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.max(F.struct(F.col("votes"), (-F.col("cls")).alias("low")))["low"].alias("low")).select("id", (-F.col("low")).alias("prediction"))
 
 
+#: One of so many training rows, by hash, gives the bounds.
+SHARE = 100
+
+
+def bounded(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
+    """test with `bound`: the k-th least distinct distance to a part of the training rows, which the k-th of all can't
+    exceed; infinite where the part has fewer. No training row further off in amount can be among the k."""
+    part = train.filter(F.pmod(F.xxhash64("txn_id"), F.lit(SHARE)) == 0)
+    found = nearest(distances(part, test), k).groupBy(F.col("id").alias("of")).agg(F.count("*").alias("n"), F.max("dist").alias("most")).filter(F.col("n") == k)
+    joined = test.join(found, F.col("txn_id") == F.col("of"), "left")
+    return joined.withColumn("bound", F.coalesce("most", F.lit(float("inf")))).drop("of", "n", "most")
+
+
 def knn(train: DataFrame, test: DataFrame, k: int = 3, strategy: str = "topk") -> DataFrame:
-    return vote(nearest(distances(train, test), k, strategy == "topk"))
+    """id, prediction. `topk` bounds each test row first and cuts to k before the shuffle; `shuffle` ranks all distances."""
+    if strategy == "topk":
+        return vote(nearest(distances(train, bounded(train, test, k)), k))
+    return vote(nearest(distances(train, test), k, partial=False))
 
 
 def labelled(predictions: DataFrame, test: DataFrame) -> DataFrame:
