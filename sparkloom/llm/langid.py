@@ -17,10 +17,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, _odd, buffers, hasher, read, runs, slices, tidy
+from .common import NON_WORD, _odd, buffers, checkpoint, hasher, read, runs, slices, tidy
 
 #: Bytes of a piece, units in each direction, sampled documents of a language, pieces learned from, passes over them.
 PIECE, HIDDEN, TRAIN_DOCS, TRAIN_PIECES, PASSES = 16, 12, 256, 48_000, 3
@@ -192,16 +192,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample(usable: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
+    """(id, lang, text): of each language in `counts` (its number of rows) the `most` rows of least hash; checkpointed.
+
+    One pass: a bound on the hash, from the counts, lets about twice as many rows through as are wanted, and what passes is
+    cut to `most` in each task before it is shuffled. Where ids repeat so that too few pass, all rows compete.
+    """
+    low, width = -(1 << 63), 1 << 64
+    order = Window.partitionBy("lang").orderBy("h", "id", "text")
+    ranked = usable.withColumn("h", F.xxhash64("id"))
+    for wide in (False, True):
+        bounds = {x: low + width * min(n, n if wide else 2 * most + 64) // n - 1 for x, n in counts.items()}
+        bound = F.create_map(*[F.lit(v) for pair in bounds.items() for v in pair])[F.col("lang")]
+        near = ranked.filter(F.col("h") <= bound)  # null, so false, for a language that isn't learned
+        out = checkpoint(near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n"))
+        if out.count() == sum(min(n, most) for n in counts.values()):
+            break
+    return out
+
+
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES, passes: int = PASSES) -> Network | None:
     """A network learned from text and lang of a bounded sample of the documents that aren't held out."""
     usable = docs.select(docs["doc_id"].cast("long").alias("id"), docs["lang"].alias("lang"), docs["text"].alias("text")).filter("id is not null and lang is not null and text is not null").filter(~held_out(F.col("id")))
     found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not found:
+        return None
+    chosen = sample(usable, {r["lang"]: r["count"] for r in found}, train_docs)
     languages = sorted(r["lang"] for r in found)
     data, lengths, truth = [], [], []
-    for i, name in enumerate(languages):
-        # ids first, by a partial top-k of narrow rows, then their texts
-        ids = [r["id"] for r in usable.filter(F.col("lang") == name).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(train_docs).collect()]
-        texts = [r["text"] for r in usable.filter((F.col("lang") == name) & F.col("id").isin(ids)).select("id", "text").orderBy(F.xxhash64("id"), "id", "text").limit(train_docs).collect()]
+    for i, name in enumerate(languages):  # the sample is small; one language's texts at a time on the driver
+        texts = [r["text"] for r in chosen.filter(F.col("lang") == name).orderBy("h", "id", "text").collect()]
         raw, offsets = buffers(pa.array(texts, pa.string()))
         starts, ends, _ = cut(raw, offsets)
         if not len(starts):
