@@ -23,12 +23,15 @@ SLICE_BYTES = 2 << 20
 BROADCAST_ROWS = 1_000_000
 
 
-#: Rows that Spark hands to Python at once; texts may be long, so far fewer than its default of 10,000.
-BATCH_ROWS = 2000
+#: Rows and bytes that Spark hands to Python at once (texts may be long, so far fewer than by default), and rows that it
+#: reads of a file at once: their texts stand in one array, which doubles as it grows.
+BATCH_ROWS, BATCH_BYTES, FILE_ROWS = 2000, SLICE_BYTES, 1024
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(FILE_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
