@@ -58,13 +58,20 @@ def test_bpe(spark, docs, texts):
     assert bpe.encode(odd(spark).limit(0), ["doc_id"]).count() == 0
 
 
-def test_token_counts(spark, texts):
+def test_token_counts(spark, texts, monkeypatch):
     import public_tokenizers
 
     with open(public_tokenizers.path(tokencount.TOKENIZER), "rb") as f:
         own = tokencount.Counter(f.read())
     for t in [x for _, x in texts[:40]] + fuzz(300, 2, ["<|endoftext|>", "don't", " ", "\n", "é", "é", "漢字", "x1y22", "!!", "aaaa"]) + ["b" * 3000]:
-        assert own.count(t, 100, 40) == own.plain([t])[0]
+        assert own.count(t, 100, 40) == own.plain([t])[0] == own.encoded([t])[0]
+    odd_words = fuzz(3000, 3, ["<|endoftext|>", "<|", "|>", "'", "s", "RE", " ", "  ", "\n", "\t", "\0", "\x85", "\u3000", "\u0301", "\u0327", "e", "Σ", "İ", "가", "ᆨ", "9", "."])
+    assert own.mark is not None and own.plain(odd_words) == own.encoded(odd_words) and own.plain([]) == []
+    monkeypatch.setattr(tokencount, "MEMO", 20)  # too small for a batch: nothing is remembered, nothing is lost
+    assert own.plain(odd_words[:300]) == own.encoded(odd_words[:300]) and not own.memo
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        other = tokencount.Counter(f.read())
+    assert other.mark is None and other.plain(["a b", " a"]) == other.encoded(["a b", " a"])
     got = {r["doc_id"]: r for r in tokencount.count_tokens(odd(spark), ["doc_id"]).collect()}
     assert (got[1]["n_bytes"], got[1]["n_tokens"], got[1]["over_limit"]) == (0, 0, False)
 
