@@ -89,6 +89,10 @@ _REACH = f"WITH RECURSIVE {HOPS}, reach(id, d) AS (SELECT {SOURCE}::BIGINT, 0::B
 _add("sssp", lambda s, d: paths.shortest_paths(sources.hops(s, d), SOURCE), f"{_REACH} SELECT id, d FROM best")
 _add("eccentricity", lambda s, d: paths.eccentricity(sources.hops(s, d), SOURCE), f"{_REACH} SELECT 'Diameter' AS name, max(d) AS n FROM best HAVING max(d) > 0")
 _add("relax_once", lambda s, d: paths.relax(sources.hops(s, d), s.range(1).select(F.lit(SOURCE).cast("long").alias("id"), F.lit(0).cast("long").alias("d"))), f"WITH {HOPS} SELECT dst AS id, min(1)::BIGINT AS d FROM hops WHERE src = {SOURCE} GROUP BY 1")
+# all edges; tested by brute force
+_add("sssp_whole", lambda s, d: paths.shortest_paths(sources.hops(s, d, True), SOURCE))
+_add("eccentricity_whole", lambda s, d: paths.eccentricity(sources.hops(s, d, True), SOURCE))
+_add("relax_once_whole", lambda s, d: paths.relax(sources.hops(s, d, True), s.range(1).select(F.lit(SOURCE).cast("long").alias("id"), F.lit(0).cast("long").alias("d"))))
 
 
 # ------------------------------------------------ k-means
