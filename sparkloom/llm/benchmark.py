@@ -8,7 +8,7 @@ bits in one block at least, so looking up every block's neighbours within 2 bits
 verified: the weight of the item's shingles that stand in the window, over the item's whole weight, is at least 0.8.
 Windows without enough shingles of items to reach 0.8 of any item of that size can't qualify and get no fingerprint.
 
-Items are broadcast in blocks of at most ITEMS. Defined cases: null and short texts hold nothing; a text shorter than an item is one
+Items are broadcast in blocks of about ITEMS; a shingle's weight is the whole benchmark's in each block. Defined cases: null and short texts hold nothing; a text shorter than an item is one
 window; items of fewer than five words take no part; repeated rows give repeated results; rows with a null doc_id or
 item_id are passed over. Equal best windows: the first.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, mix, read, shingle_hashes, slices, tidy, word_hashes
+from .common import NON_WORD, checkpoint, mix, read, shingle_hashes, slices, tidy, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 #: Two windows that share 0.8 differ in 13 of 64 bits on average, 3.2 the standard deviation; this is 3 of these more.
@@ -42,15 +42,20 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 class Items:
     """A block of items, ready for search."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], total: int, shared: dict[str, np.ndarray] | None = None):
+        """total: items of the whole benchmark; shared: `shingle` and `n` of the block's shingles that several of these hold
+        (all others are held once), None if the block is the benchmark."""
         words, rows, _, _, _ = word_hashes(pa.array(texts, pa.string()), NON_WORD)
         got, of, _ = shingle_hashes(words, rows, WORDS, whole=False)
         self.ids = ids
         n_words = np.bincount(rows, minlength=len(ids))
         pairs = np.unique(np.stack([got, of.astype(np.uint64)], 1), axis=0)
         self.known, counts = np.unique(pairs[:, 0], return_counts=True)
-        self.idf = np.log(1 + len(ids) / counts)
-        self.rare = float(np.log(1 + len(ids)))
+        if shared is not None:
+            counts = np.ones(len(self.known), np.int64)
+            counts[np.searchsorted(self.known, shared["shingle"])] = shared["n"]
+        self.idf = np.log(1 + total / counts)
+        self.rare = float(np.log(1 + total))
         own = pairs[:, 1].astype(np.int64)
         self.sets = [np.sort(pairs[own == i, 0]) for i in np.unique(own)]
         which = np.unique(own)
@@ -114,16 +119,39 @@ class Items:
         return [(i, s, at) for i, (s, at) in sorted(best.items())]
 
 
+def shared_shingles(items: DataFrame) -> DataFrame:
+    """(block, shingle, n): the shingles that n > 1 rows of items hold, for each block of such a row; checkpointed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, rows, _, _, _ = word_hashes(part.column("text"), NON_WORD)
+                got, of, _ = shingle_hashes(words, rows, WORDS, whole=False)
+                pairs = np.unique(np.stack([of.astype(np.uint64), got], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([part.column("block").take(pa.array(pairs[:, 0].astype(np.int64))), pa.array(pairs[:, 1].view(np.int64) if len(pairs) else [], pa.int64())], ["block", "shingle"])
+
+    held = items.select("block", "text").mapInArrow(tidy(run), "block int, shingle long")
+    counted = held.groupBy("shingle").agg(F.count("*").alias("n"), F.collect_set("block").alias("blocks")).filter("n > 1")
+    return checkpoint(counted.select(F.explode("blocks").alias("block"), "shingle", "n"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): the items that a document holds, with the best window's first word."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null and text is not null")
-    blocks = max(1, -(-items.count() // ITEMS))
+    total = items.count()
+    blocks = max(1, -(-total // ITEMS))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
+    several = shared_shingles(items) if blocks > 1 else None
     texts = docs.select(docs["doc_id"].cast("long").alias("__id"), docs["text"].alias("__text")).filter("__id is not null and __text is not null")
     out = None
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about ITEMS rows
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+        rows = items.filter(F.col("block") == b).orderBy("item_id", "text").collect()  # about ITEMS rows
+        held = None
+        if several is not None:
+            found = several.filter(F.col("block") == b).select("shingle", "n").toArrow()  # of these rows only
+            held = {"shingle": found.column("shingle").to_numpy().view(np.uint64), "n": found.column("n").to_numpy()}
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], total, held))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Items(*shared.value)
