@@ -1,15 +1,12 @@
-"""Operator 8: benchmark passages in documents by SimHash of item-sized windows, multi-index Hamming search and exact
-weighted-shingle similarity.
+"""Operator 8: benchmark passages in documents by an inverted index of the items' shingles and exact weighted similarity.
 
 Items and texts become words (runs of letters, digits and underscores, A-Z lower-cased) and 5-word shingles. A shingle weighs
-log(1 + items / items that hold it). For each size of an item, windows of as many words slide over a text by single words; a
-window's 64-bit SimHash is searched in 8 tables of 8-bit blocks. Fingerprints within RADIUS = 23 bits differ in at most 2
-bits in one block at least, so looking up every block's neighbours within 2 bits finds all of them. What is found is
-verified: the weight of the item's shingles that stand in the window, over the item's whole weight, is at least 0.8.
-Windows without enough shingles of items to reach 0.8 of any item of that size can't qualify and get no fingerprint.
-
-Items are broadcast in blocks of about ITEMS; a shingle's weight is the whole benchmark's in each block. Defined cases: null and short texts hold nothing; a text shorter than an item is one
-window; items of fewer than five words take no part; repeated rows give repeated results; rows with a null doc_id or
+log(1 + items / items that hold it). For each item, windows of as many words slide over a text by single words; the weight of
+the item's shingles that stand in the window, over the item's whole weight, is at least 0.8. An item whose shingles anywhere
+in the text stay below 0.8 can have no such window; the windows of all others are weighed one by one, so none is lost.
+
+Items are broadcast in blocks of about ITEMS; a shingle's weight is the whole benchmark's in each block. Defined cases:
+null and short texts hold nothing; a text shorter than an item is one window; items of fewer than five words take no part; repeated rows give repeated results; rows with a null doc_id or
 item_id are passed over. Equal best windows: the first.
 """
 
@@ -22,23 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, checkpoint, mix, read, shingle_hashes, slices, tidy, word_hashes
+from .common import NON_WORD, checkpoint, read, shingle_hashes, slices, tidy, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
-#: Two windows that share 0.8 differ in 13 of 64 bits on average, 3.2 the standard deviation; this is 3 of these more.
-RADIUS, BLOCKS = 23, 8
+#: Steps of a unit of weight in the windows' sums, which are whole numbers so that equal windows are equal.
+STEPS = 1 << 40
 ITEMS = 4096
 
 
-def _signs(shingles: np.ndarray) -> np.ndarray:
-    bits = (mix(shingles ^ np.uint64(0x632BE59BD9B4E019))[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    return bits.astype(np.float32) * 2 - 1
-
-
-def _pack(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-
-
 class Items:
     """A block of items, ready for search."""
 
@@ -55,68 +43,57 @@ class Items:
             counts = np.ones(len(self.known), np.int64)
             counts[np.searchsorted(self.known, shared["shingle"])] = shared["n"]
         self.idf = np.log(1 + total / counts)
-        self.rare = float(np.log(1 + total))
         own = pairs[:, 1].astype(np.int64)
-        self.sets = [np.sort(pairs[own == i, 0]) for i in np.unique(own)]
-        which = np.unique(own)
-        self.sizes: dict[int, dict] = {}
-        near = np.array([[bin(a ^ b).count("1") <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
-        for i, s in zip(which.tolist(), self.sets, strict=True):
-            at = of == i
-            weights = self.weight(s)
-            prints = _pack((_signs(got[at]) * self.weight(got[at])[:, None]).sum(0)[None])[0]
-            group = self.sizes.setdefault(int(n_words[i]) - WORDS + 1, {"items": [], "sets": [], "weights": [], "prints": [], "need": 1 << 30})
-            group["items"].append(i)
-            group["sets"].append(s)
-            group["weights"].append(weights)
-            group["prints"].append(prints)
-            group["need"] = min(group["need"], max(1, int(np.ceil(SIMILAR * weights.sum() / weights.max() - 1e-9))))
-        for group in self.sizes.values():
-            group["prints"] = np.array(group["prints"], np.uint64)
-            group["tables"] = np.stack([near[:, (group["prints"] >> np.uint64(8 * b)).astype(np.int64) & 255] for b in range(BLOCKS)])
-
-    def weight(self, shingles: np.ndarray) -> np.ndarray:
+        of_item = np.searchsorted(self.known, pairs[:, 0])
+        self.holders, self.begin = own, np.concatenate([[0], np.cumsum(np.bincount(of_item, minlength=len(self.known)))]).astype(np.int64)
+        self.weights = np.bincount(own, self.idf[of_item], len(ids))
+        order = np.lexsort((of_item, own))
+        cuts = np.searchsorted(own[order], np.arange(len(ids) + 1))
+        self.sets = [of_item[order[a:z]] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.sizes = n_words - WORDS + 1
+        self.steps = np.round(self.idf * STEPS).astype(np.int64)
+
+    def places(self, shingles: np.ndarray) -> np.ndarray:
+        """Each shingle's place among the items' shingles, -1 for others."""
         if not len(self.known):
-            return np.full(len(shingles), self.rare)
+            return np.full(len(shingles), -1)
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.idf[at], self.rare)
-
-    def holds(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.zeros(len(shingles), bool)
-        return self.known[np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)] == shingles
+        return np.where(self.known[at] == shingles, at, -1)
 
-    def search(self, shingles: np.ndarray, hit: np.ndarray) -> list[tuple[int, float, int]]:
+    def search(self, places: np.ndarray) -> list[tuple[int, float, int]]:
         """(item's number, similarity, first word) of the best window of each item that a text's shingles hold."""
-        n = len(shingles)
-        hits = np.concatenate([[0], np.cumsum(hit)])
-        sums = None
-        best: dict[int, tuple[float, int]] = {}
-        for size, group in self.sizes.items():
-            width = min(size, n)
-            starts = np.flatnonzero(hits[width:] - hits[: n - width + 1] >= group["need"])
-            if not len(starts):
-                continue
-            if sums is None:
-                # prefix sums over the stretch that holds every window of a hit
-                reach = max(self.sizes)
-                spots = np.flatnonzero(hit)
-                low, high = max(0, int(spots[0]) - reach), min(n, int(spots[-1]) + reach + 1)
-                part = shingles[low:high]
-                sums = np.concatenate([np.zeros((1, 64), np.float32), np.cumsum(_signs(part) * self.weight(part)[:, None].astype(np.float32), 0, dtype=np.float64)])
-            prints = _pack(sums[starts + width - low] - sums[starts - low])
-            found = np.zeros((len(starts), len(group["items"])), bool)
-            for b in range(BLOCKS):
-                found |= group["tables"][b][(prints >> np.uint64(8 * b)).astype(np.int64) & 255]
-            found &= np.bitwise_count(prints[:, None] ^ group["prints"]) <= RADIUS
-            for w, i in zip(*np.nonzero(found), strict=True):
-                at = int(starts[w])
-                weights = group["weights"][i]
-                similar = float(weights[np.isin(group["sets"][i], shingles[at : at + width])].sum() / weights.sum())
-                item = group["items"][i]
-                if similar >= SIMILAR - 1e-9 and (item not in best or (similar, -at) > (best[item][0], -best[item][1])):
-                    best[item] = (similar, at)
-        return [(i, s, at) for i, (s, at) in sorted(best.items())]
+        n = len(places)
+        spots = np.flatnonzero(places >= 0)
+        have = np.unique(places[spots])
+        counts = self.begin[have + 1] - self.begin[have]
+        at = np.repeat(self.begin[have] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        most = np.bincount(self.holders[at], np.repeat(self.idf[have], counts), len(self.ids))
+        order = spots[np.argsort(places[spots], kind="stable")]
+        sorted_places = places[order]
+        out = []
+        for i in np.flatnonzero((most > 0) & (most >= (SIMILAR - 1e-8) * self.weights)).tolist():
+            own = self.sets[i]
+            a, z = np.searchsorted(sorted_places, own), np.searchsorted(sorted_places, own, "right")
+            own_at = np.concatenate([order[x:y] for x, y in zip(a, z, strict=True)])
+            worth = np.repeat(self.steps[own], z - a)
+            # a shingle counts once: in windows from behind its last place, if that is in reach, to this place
+            before = np.concatenate([[-1], own_at[:-1]])
+            firsts = np.cumsum(z - a) - (z - a)
+            before[firsts[z > a]] = -1
+            width = min(int(self.sizes[i]), n)
+            start = np.maximum(before + 1, own_at - width + 1)
+            end = np.minimum(own_at, n - width) + 1
+            real = start < end
+            edges, where = np.unique(np.concatenate([start[real], end[real]]), return_inverse=True)
+            gain = np.zeros(len(edges), np.int64)
+            np.add.at(gain, where, np.concatenate([worth[real], -worth[real]]))
+            sums = np.cumsum(gain)
+            first = int(edges[sums.argmax()])
+            weights = self.idf[own]
+            similar = float(weights[np.isin(own, places[first : first + width])].sum() / weights.sum())
+            if similar >= SIMILAR - 1e-9:
+                out.append((i, similar, first))
+        return out
 
 
 def shared_shingles(items: DataFrame) -> DataFrame:
@@ -159,12 +136,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for part in slices(batch, "__text"):
                     words, rows, _, _, _ = word_hashes(part.column("__text"), NON_WORD)
                     got, of, _ = shingle_hashes(words, rows, WORDS, whole=False)
-                    hit = own.holds(got)
+                    places = own.places(got)
                     ids = part.column("__id")
                     out = []
-                    for row in np.unique(of[hit]).tolist():
+                    for row in np.unique(of[places >= 0]).tolist():
                         a, z = np.searchsorted(of, [row, row + 1])
-                        out += [(ids[row].as_py(), own.ids[i], s, at) for i, s, at in own.search(got[a:z], hit[a:z])]
+                        out += [(ids[row].as_py(), own.ids[i], s, at) for i, s, at in own.search(places[a:z])]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "similarity", "first_word"])
 
         found = texts.mapInArrow(tidy(run), "doc_id long, item_id long, similarity double, first_word long")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from sparkloom.llm import benchmark
 
@@ -52,3 +53,29 @@ def test_blocks_weigh_alike(spark, monkeypatch):
     whole = found(spark, docs, items)
     monkeypatch.setattr(benchmark, "ITEMS", 13)
     assert found(spark, docs, items) == whole and 10 < len(whole) < 60
+
+
+def test_near_copies_of_repeated_items(spark):
+    """Exactly 0.8 of items that 50 of 100 repeat, beside words that no item holds."""
+    rng = random.Random(7)
+    draw = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passages = [draw(34), draw(34)]
+    items = [(i, " ".join(passages[i % 2])) for i in range(100)]
+    docs = [(1000 + i, " ".join(draw(9) + passages[i % 2][6:] + draw(12))) for i in range(40)]
+    got = found(spark, docs, items)
+    assert got == brute(docs, items) and len(got) == 40 * 50
+
+
+def test_search():
+    """Texts of few different words, so that shingles repeat, against brute force."""
+    rng = random.Random(9)
+    words = lambda a, b: " ".join(rng.choice("abc") for _ in range(rng.randrange(a, b)))
+    items = [(i, words(5, 30)) for i in range(30)]
+    docs = [(i, words(3, 120)) for i in range(80)]
+    own = benchmark.Items([i for i, _ in items], [t for _, t in items], len(items))
+    got = {}
+    for d, t in docs:
+        hashes, rows, *_ = benchmark.word_hashes(pa.array([t], pa.string()), benchmark.NON_WORD)
+        places = own.places(benchmark.shingle_hashes(hashes, rows, benchmark.WORDS, whole=False)[0])
+        got |= {(d, i): (round(s, 9), at) for i, s, at in own.search(places)}
+    assert got == brute(docs, items) and len(got) > 20
