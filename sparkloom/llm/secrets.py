@@ -32,7 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f][0-9a-f]{31,}")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 SIGNED = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-BLOCK = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+BLOCK = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----((?:\s*[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
@@ -78,12 +78,18 @@ def _json(part: str) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-def _der(body: str) -> bool:
+def _key(name: str, headers: str, body: str) -> bool:
+    """Whether a block's body begins as its header says: OpenSSH's magic, whole cipher blocks if encrypted, else DER."""
     body = "".join(body.split())
     try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))[:1] == b"\x30"
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except (ValueError, binascii.Error):
         return False
+    if name == "OPENSSH PRIVATE KEY" and raw.startswith(b"openssh-key-v1\0"):
+        return True
+    if re.search(r"^\s*Proc-Type: 4,ENCRYPTED\s*$", headers, re.M):
+        return len(raw) >= 16 and len(raw) % 8 == 0
+    return raw[:1] == b"\x30"
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -116,7 +122,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
             if (m := SIGNED.match(text, at)) and "alg" in (_json(m[1]) or ()) and _json(m[2]) is not None:
                 free[kind] = m.end()
                 out.append((at, 4, m.end()))
-        elif (m := BLOCK.match(text, at)) and _der(m[2]):
+        elif (m := BLOCK.match(text, at)) and _key(m[1], m[2], m[3]):
             free[kind] = m.end()
             out.append((at, 5, m.end()))
     out.extend((m.start(), 2, m.end()) for m in HEX.finditer(text))
