@@ -5,13 +5,16 @@ starts there (a constant above all others where none does), so the root is the l
 changes three leaves (the merged position, its right neighbour, its left live neighbour) and their ancestors only. Trees of
 equal size are worked on side by side as rows of one matrix.
 
-Nulls and empty texts give no tokens. Repeated rows are encoded each by itself. Other columns are passed on or ignored.
+Nulls and empty texts give no tokens, an empty table gives one. Repeated rows are encoded each by itself; pairs of equal rank are merged
+from the left. Very long texts are encoded whole, and a very long pre-token has a tree of its own. Other columns pass if kept;
+those named as the results are replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import ChainMap
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -23,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read, slices, tidy
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens that each of a worker's two generations of memory holds; the older goes when the younger is full.
-MEMO = 200_000
+#: Pre-tokens, and characters of them and their ids, that each of a worker's two generations of memory holds; the older goes when
+#: the younger is full. Longer pre-tokens than MEMO_LENGTH aren't remembered.
+MEMO, MEMO_CHARACTERS, MEMO_LENGTH = 200_000, 8 << 20, 256
 #: Elements of the tree matrices that are worked on at once: what a core's cache holds.
 MATRIX = 1 << 16
 
@@ -55,6 +59,7 @@ class BpeCodec:
         self.text_of = {str(v): k for k, v in ranks.items()}
         self.memo: dict[str, str] = {}
         self.older: dict[str, str] = {}
+        self.held = 0
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's merged token, -1 if there is none."""
@@ -190,24 +195,29 @@ class BpeCodec:
                     out[i] = got
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Puts the pieces' ids, as text, into the memo."""
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
+    def learn(self, pieces: set[str]) -> dict[str, str]:
+        """The pieces' ids, as text; remembers those of pieces of up to MEMO_LENGTH."""
+        if len(self.memo) > MEMO or self.held > MEMO_CHARACTERS:
+            self.older, self.memo, self.held = self.memo, {}, 0
         memo, older = self.memo, self.older
-        new = []
+        new, long = [], []
         for p in pieces.difference(memo):
             if (got := older.pop(p, None)) is not None:
                 memo[p] = got
+                self.held += len(p) + len(got)
             else:
-                new.append(p)
+                (new if len(p) <= MEMO_LENGTH else long).append(p)
         for p, ids in zip(new, self.encode_pieces([p.encode() for p in new]), strict=True):
-            memo[p] = ",".join(map(str, ids))
+            memo[p] = got = ",".join(map(str, ids))
+            self.held += len(p) + len(got)
+        if not long:
+            return memo
+        return ChainMap(memo, dict(zip(long, (",".join(map(str, ids)) for ids in self.encode_pieces([p.encode() for p in long])), strict=True)))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.find(text)
-        self.learn(set(pieces))
-        return [int(x) for p in pieces for x in self.memo[p].split(",")]
+        ids = self.learn(set(pieces))
+        return [int(x) for p in pieces for x in ids[p].split(",")]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -239,16 +249,16 @@ def encode(docs: DataFrame, keep: list[str], rank_file: str | None = None, patte
     """
     raw, pattern = tokenizer(rank_file, pattern)
     shared = docs.sparkSession.sparkContext.broadcast(raw)  # the rank file, under 1 MB
-    kept = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in keep]).dtypes)
-    schema = f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    keep = [c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)]
+    kept = "".join(f"`{c}` {t}, " for c, t in docs.select(*[f"`{c}`" for c in keep]).dtypes)
+    schema = f"{kept}n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
             for part in slices(batch, "__text"):
                 found = [own.find(t or "") for t in part.column("__text").to_pylist()]
-                own.learn(set(chain.from_iterable(found)))
-                memo = own.memo
+                memo = own.learn(set(chain.from_iterable(found)))
                 counts, digests, decoded, ids = [], [], [], []
                 for pieces in found:
                     joined = ",".join(map(memo.__getitem__, pieces))

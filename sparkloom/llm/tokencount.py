@@ -12,7 +12,8 @@ words' counts and encodes new ones together, a mark between them. Nothing crosse
 it, no pattern of the splitter and no special token holds one, and neither looks ahead or back. A vocabulary with another splitter
 than SPLITTER has its texts encoded as they are.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each by itself.
+Null and empty texts have 0 bytes and 0 tokens, an empty table gives one; very long texts are counted whole. Repeated rows are
+counted each by itself. Other columns pass if kept; those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -140,7 +141,8 @@ def count_tokens(docs: DataFrame, keep: list[str], path: str | None = None, limi
 
     with open(path or public_tokenizers.path(TOKENIZER), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary, under 2 MB
-    kept = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in keep]).dtypes)
+    keep = [c for c in keep if c not in ("n_bytes", "n_tokens", "over_limit")]
+    kept = "".join(f"`{c}` {t}, " for c, t in docs.select(*[f"`{c}`" for c in keep]).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -159,7 +161,7 @@ def count_tokens(docs: DataFrame, keep: list[str], path: str | None = None, limi
                 n_bytes = pc.fill_null(pc.binary_length(part.column("__text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], n_bytes, pa.array(counts), pa.array(counts > limit)], [*keep, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(tidy(run), f"{kept}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(tidy(run), f"{kept}n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
