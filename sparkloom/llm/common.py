@@ -38,14 +38,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts df's lineage: writes it as a table in the folder that the cluster names in spark.checkpoint.dir and reads that.
 
-    A folder of our own only where none is set. Unlike DataFrame.checkpoint, whose size estimate is its plan's (a product
+    A folder of our own only where none is set and Spark is local: on a cluster it must be one that all machines share. Unlike DataFrame.checkpoint, whose size estimate is its plan's (a product
     over joins, which explodes in a loop), the table's size is known, so Spark can choose joins by it. The tables go when
     this Python ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     top = f"{sc._jsc.sc().getCheckpointDir().get()}/tables"
     if top not in _tops:
         _tops.add(top)

@@ -1,14 +1,16 @@
 """Operator 6: language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads the bytes of a word (a run of letters, digits and underscores, A-Z lower-cased; longer ones in pieces of
-PIECE bytes) from both ends and labels every position with a probability for each language. A document's probability
-is the mean over all its labelled positions; its score is the largest. Equal words of a slice of texts are read once and
-counted. Training is backpropagation through time by the driver, on a sample of labelled documents: the TRAIN_DOCS of each
-language with the least hash of their id, of which TRAIN_PIECES words in all are drawn; these bounds are parameters.
+The network reads a document's bytes (A-Z lower-cased) from both ends of windows: WINDOW bytes are labelled, every one of them, letters,
+spaces and punctuation alike, and up to CONTEXT bytes on either side within the document are read before. Windows follow each
+other without gaps, so every byte of a document gets one probability for each language. A document's probability
+is the mean over all its bytes; its score is the largest. Training is backpropagation through time by the driver, on a sample
+of labelled documents: of the TRAIN_DOCS of each language with the least hash of their id, the windows of least hash, TRAIN_WINDOWS in
+all (LEAST_WINDOWS of a language at least); these bounds are parameters. Every label that occurs is learned.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text when no labelled document can be
-learned from. Rows without doc_id or lang are not learned from, and are predicted like all others; held_out is then false
-for a null doc_id. Equal probabilities: the language first in alphabetical order. Repeated rows are predicted each by itself.
+learned from. An empty table gives none. Rows without doc_id or lang are not learned from, and are predicted like all others;
+held_out is then false for a null doc_id. Equal probabilities: the language first in alphabetical order. Very long texts are read whole.
+Repeated rows are predicted each by itself. Other columns pass if kept; those named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -20,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, _odd, buffers, checkpoint, hasher, read, runs, slices, tidy
+from .common import LOWER, buffers, checkpoint, mix, read, slices, tidy
 
-#: Bytes of a piece, units in each direction, sampled documents of a language, pieces learned from, passes over them.
-PIECE, HIDDEN, TRAIN_DOCS, TRAIN_PIECES, PASSES = 16, 12, 256, 48_000, 3
-BATCH, STEP = 512, 0.01
-#: Languages at most that labels may name: the most frequent ones are learned.
-LANGUAGES = 256
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A") : ord("Z") + 1] += 32
+#: Bytes of a window that are labelled and that are read before, units in each direction.
+WINDOW, CONTEXT, HIDDEN = 64, 16, 12
+#: Sampled documents of a language, windows learned from in all and of a language at least, passes over them.
+TRAIN_DOCS, TRAIN_WINDOWS, LEAST_WINDOWS, PASSES = 256, 8192, 64, 3
+BATCH, STEP = 64, 0.01
+#: Windows that are labelled at once.
+TOGETHER = 1024
 #: Bytes of letters for sure: ASCII letters. Texts without any are looked at as characters.
 LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
 
@@ -136,30 +138,61 @@ class Network:
                     self.p[k] -= STEP * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return float(np.mean(losses)) if losses else 0.0
 
-    def pieces(self, data: np.ndarray, lengths: np.ndarray, together: int = 4096) -> np.ndarray:
-        """Sums of the positions' probabilities for each piece."""
-        out = np.zeros((len(lengths), len(self.languages)), np.float32)
-        order = np.argsort(lengths, kind="stable")
-        for a in range(0, len(order), together):
-            at = order[a : a + together]
-            prob, mask = self.label(data[at, : lengths[at].max()], lengths[at])
-            out[at] = (prob * mask[:, :, None]).sum(0)
+    def totals(self, data: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Sums of the probabilities of the bytes start..end - 1 of each window, read from low to high; data is lower-cased."""
+        out = np.zeros((len(start), len(self.languages)))
+        order = np.argsort(end - start, kind="stable")
+        own = {k: np.ascontiguousarray(v.T) for k, v in self.p.items()}
+        for a in range(0, len(order), TOGETHER):
+            at = order[a : a + TOGETHER]
+            s, e, steps = start[at], end[at], int((end[at] - start[at]).max())
+            f = self._states("f", own, data, s - CONTEXT, 1, low[at], e, steps)
+            b = self._states("b", own, data, s + steps + CONTEXT - 1, -1, s, high[at], steps)
+            sums = np.zeros((len(self.languages), len(at)), np.float32)
+            for t in range(steps):
+                prob = own["out"][:, : self.hidden] @ f[t] + own["out"][:, self.hidden :] @ b[steps - 1 - t] + own["bias"][:, None]
+                prob -= prob.max(0)
+                np.exp(prob, out=prob)
+                prob /= prob.sum(0)
+                prob *= s + t < e
+                sums += prob
+            out[at] = sums.T
         return out
 
-
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the words' pieces."""
-    starts, ends, rows = runs(NON_WORD[data], offsets)
-    parts = -(-(ends - starts) // PIECE)
-    no = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = np.repeat(starts, parts) + no * PIECE
-    return begin, np.minimum(begin + PIECE, np.repeat(ends, parts)), np.repeat(rows, parts)
+    def _states(self, d: str, own: dict, data: np.ndarray, first: np.ndarray, way: int, low: np.ndarray, high: np.ndarray, steps: int) -> list[np.ndarray]:
+        """States (units x windows) after each of the last `steps` steps of a direction; places outside low..high - 1 change nothing."""
+        h = self.hidden
+        state = np.zeros((h, len(first)), np.float32)
+        out = []
+        for t in range(CONTEXT + steps):
+            place = first + way * t
+            inside = (place >= low) & (place < high)
+            x = np.take(own[f"x{d}"], data[np.where(inside, place, 0)], axis=1)
+            gates = own[f"g{d}"] @ state
+            gates += x[: 2 * h]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            cand = own[f"c{d}"] @ (gates[h:] * state)
+            cand += x[2 * h :]
+            np.tanh(cand, out=cand)
+            cand -= state
+            cand *= gates[:h]
+            if not inside.all():
+                cand *= inside
+            state = state + cand
+            if t >= CONTEXT:
+                out.append(state)
+        return out
 
 
-def matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lengths = ends - starts
-    padded = np.concatenate([LOWER[data], np.zeros(PIECE, np.uint8)])
-    return padded[starts[:, None] + np.arange(PIECE)], lengths
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the windows of texts."""
+    parts = -(-np.diff(offsets) // WINDOW)
+    rows = np.repeat(np.arange(len(parts)), parts)
+    start = offsets[rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)) * WINDOW
+    return start, np.minimum(start + WINDOW, offsets[rows + 1]), rows
 
 
 def predict(network: Network | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -169,20 +202,16 @@ def predict(network: Network | None, texts: pa.Array) -> tuple[list[str], np.nda
     if network is None or not n:
         return names, scores
     data, offsets = buffers(texts)
-    starts, ends, rows = cut(data, offsets)
-    if not len(starts):
+    start, end, rows = windows(offsets)
+    if not len(start):
         return names, scores
-    _, first, back = np.unique(hasher(1)(data, starts, ends), return_index=True, return_inverse=True)
-    sums = network.pieces(*matrix(data, starts[first], ends[first]))
-    edges = np.searchsorted(rows, np.arange(n + 1))
-    total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums[back], 0, dtype=np.float64)])
-    positions = np.concatenate([[0], np.cumsum(ends - starts)])
+    sums = network.totals(LOWER[data], np.maximum(start - CONTEXT, offsets[rows]), start, end, np.minimum(end + CONTEXT, offsets[rows + 1]))
+    size = np.diff(offsets)
+    mean = np.stack([np.bincount(rows, x, n) for x in sums.T], 1) / np.maximum(size, 1)[:, None]
     letters = np.concatenate([[0], np.cumsum(LETTER[data])])
     ascii_letter = letters[offsets[1:]] > letters[offsets[:-1]]
-    counts = positions[edges[1:]] - positions[edges[:-1]]
-    mean = (total[edges[1:]] - total[edges[:-1]]) / np.maximum(counts, 1)[:, None]
     best = mean.argmax(1)
-    for i in np.flatnonzero(counts > 0).tolist():
+    for i in np.flatnonzero(size > 0).tolist():
         if ascii_letter[i] or any(map(str.isalpha, texts[i].as_py())):
             names[i], scores[i] = network.languages[best[i]], min(1.0, max(0.0, float(mean[i, best[i]])))
     return names, scores
@@ -203,46 +232,55 @@ def sample(usable: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
     ranked = usable.withColumn("h", F.xxhash64("id"))
     for wide in (False, True):
         bounds = {x: low + width * min(n, n if wide else 2 * most + 64) // n - 1 for x, n in counts.items()}
-        bound = F.create_map(*[F.lit(v) for pair in bounds.items() for v in pair])[F.col("lang")]
-        near = ranked.filter(F.col("h") <= bound)  # null, so false, for a language that isn't learned
+        each = usable.sparkSession.createDataFrame(list(bounds.items()), "of string, bound long")  # a row for each language
+        near = ranked.join(F.broadcast(each), F.col("lang") == F.col("of")).filter(F.col("h") <= F.col("bound")).drop("of", "bound")
         out = checkpoint(near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n"))
         if out.count() == sum(min(n, most) for n in counts.values()):
             break
     return out
 
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES, passes: int = PASSES) -> Network | None:
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS, passes: int = PASSES) -> Network | None:
     """A network learned from text and lang of a bounded sample of the documents that aren't held out."""
     usable = docs.select(docs["doc_id"].cast("long").alias("id"), docs["lang"].alias("lang"), docs["text"].alias("text")).filter("id is not null and lang is not null and text is not null").filter(~held_out(F.col("id")))
-    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    found = usable.groupBy("lang").count().collect()  # a row for each language
     if not found:
         return None
-    chosen = sample(usable, {r["lang"]: r["count"] for r in found}, train_docs)
     languages = sorted(r["lang"] for r in found)
-    data, lengths, truth = [], [], []
-    for i, name in enumerate(languages):  # the sample is small; one language's texts at a time on the driver
-        texts = [r["text"] for r in chosen.filter(F.col("lang") == name).orderBy("h", "id", "text").collect()]
-        raw, offsets = buffers(pa.array(texts, pa.string()))
-        starts, ends, _ = cut(raw, offsets)
-        if not len(starts):
-            continue
-        draw = (np.arange(len(starts), dtype=np.uint64) * _odd(1, 5)[0]) >> np.uint64(11)
-        pick = np.argsort(draw, kind="stable")[: max(1, train_pieces // len(languages))]
-        got, size = matrix(raw, starts[pick], ends[pick])
-        data.append(got)
-        lengths.append(size)
-        truth.append(np.full(len(pick), i))
-    if not data:
+    most = max(LEAST_WINDOWS, train_windows // len(languages))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text the `most` windows of least hash."""
+        for batch in batches:
+            for part in slices(batch):
+                data, offsets = buffers(part.column("text"))
+                start, end, rows = windows(offsets)
+                seed = part.column("h").to_numpy().view(np.uint64)[rows]
+                order = mix(mix(seed) + (start - offsets[rows]).astype(np.uint64)).view(np.int64)
+                by = np.lexsort((order, rows))
+                nth = np.arange(len(by)) - np.searchsorted(rows[by], rows[by])
+                pick = by[nth < most]
+                cuts = zip(start[pick].tolist(), end[pick].tolist(), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(rows[pick])), pa.array(order[pick]), pa.array([data[x:y].tobytes() for x, y in cuts], pa.binary())], ["lang", "order", "bytes"])
+
+    chosen = sample(usable, {r["lang"]: r["count"] for r in found}, train_docs)
+    drawn = chosen.select("lang", "h", "text").mapInArrow(tidy(draw), "lang string, order long, bytes binary")
+    ranked = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "bytes"))).filter(F.col("n") <= most)
+    rows = ranked.select("lang", "order", "bytes").orderBy("lang", "order", "bytes").collect()  # at most `most` windows of each language
+    if not rows:
         return None
+    lengths = np.array([len(r["bytes"]) for r in rows])
+    data = LOWER[np.frombuffer(b"".join(bytes(r["bytes"]).ljust(WINDOW, b"\0") for r in rows), np.uint8).reshape(-1, WINDOW)]
+    truth = np.searchsorted(languages, [r["lang"] for r in rows])
     network = Network(languages)
-    network.train(np.concatenate(data), np.concatenate(lengths), np.concatenate(truth), passes)
+    network.train(data, lengths, truth, passes)
     return network
 
 
 def identify(docs: DataFrame, network: Network | None, keep: list[str]) -> DataFrame:
     """Rows of docs: the columns `keep`, lang_pred and score."""
     keep = [c for c in keep if c not in ("lang_pred", "score")]
-    kept = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in keep]).dtypes)
+    kept = "".join(f"`{c}` {t}, " for c, t in docs.select(*[f"`{c}`" for c in keep]).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +288,7 @@ def identify(docs: DataFrame, network: Network | None, keep: list[str]) -> DataF
                 names, scores = predict(network, part.column("__text"))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(tidy(run), f"{kept}, lang_pred string, score double")
+    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text")).mapInArrow(tidy(run), f"{kept}lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
