@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom import sources
 from sparkloom.operators import degree, edges, helpers, knn, ml, triangles
 from sparkloom.plans import kmeans, pagerank, paths
+from sparkloom.sources import sinks
 
 #: Bounds of the filters, the chain graph's k and passes, the source vertex, clusters, neighbours.
 BOUND, LEXICAL, CHAIN, PASSES, SOURCE, CLUSTERS, NEIGHBOURS = 200, "6", 12, 10, 0, 4, 3
@@ -19,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 EDGES = """edges AS (SELECT l_orderkey % 1000 AS follower, l_partkey % 1000 AS "user" FROM lineitem)"""
 NEAR = f"""{EDGES}, near AS (SELECT * FROM edges WHERE follower < {BOUND} AND "user" < {BOUND})"""
-HOPS = "hops AS (SELECT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_totalprice < 200000)"
+HOPS = "hops AS (SELECT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS dst FROM orders)"
 COUNTS = "counts AS (SELECT row_number() OVER () AS rid, n FROM (SELECT floor(l_extendedprice / 500) AS u, count(*) AS n FROM lineitem GROUP BY 1))"
 TXN = """txn AS (SELECT o_orderkey AS txn_id, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS step,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'PAYMENT' WHEN '2-HIGH' THEN 'TRANSFER' WHEN '3-MEDIUM' THEN 'CASH_OUT' WHEN '4-NOT SPECIFIED' THEN 'DEBIT' ELSE 'CASH_IN' END AS type,
@@ -89,10 +90,6 @@ _REACH = f"WITH RECURSIVE {HOPS}, reach(id, d) AS (SELECT {SOURCE}::BIGINT, 0::B
 _add("sssp", lambda s, d: paths.shortest_paths(sources.hops(s, d), SOURCE), f"{_REACH} SELECT id, d FROM best")
 _add("eccentricity", lambda s, d: paths.eccentricity(sources.hops(s, d), SOURCE), f"{_REACH} SELECT 'Diameter' AS name, max(d) AS n FROM best HAVING max(d) > 0")
 _add("relax_once", lambda s, d: paths.relax(sources.hops(s, d), s.range(1).select(F.lit(SOURCE).cast("long").alias("id"), F.lit(0).cast("long").alias("d"))), f"WITH {HOPS} SELECT dst AS id, min(1)::BIGINT AS d FROM hops WHERE src = {SOURCE} GROUP BY 1")
-# all edges; tested by brute force
-_add("sssp_whole", lambda s, d: paths.shortest_paths(sources.hops(s, d, True), SOURCE))
-_add("eccentricity_whole", lambda s, d: paths.eccentricity(sources.hops(s, d, True), SOURCE))
-_add("relax_once_whole", lambda s, d: paths.relax(sources.hops(s, d, True), s.range(1).select(F.lit(SOURCE).cast("long").alias("id"), F.lit(0).cast("long").alias("d"))))
 
 
 # ------------------------------------------------ k-means
@@ -139,7 +136,7 @@ _add("kmeans_assign", lambda s, d: kmeans.assign(*_start(s, d, True)).groupBy("c
 _add("kmeans_sae_history", _history, _kmeans_sql(True, "SELECT pass, sae FROM totals, stop WHERE pass <= last"))
 
 # ------------------------------------------------ nearest neighbours
-_SIDES = f"{TXN}, test AS (SELECT * FROM txn WHERE txn_id % 75 = 0), train AS (SELECT * FROM txn WHERE txn_id % 5 <> 0)"
+_SIDES = f"{TXN}, test AS (SELECT * FROM txn WHERE txn_id % 5 = 0), train AS (SELECT * FROM txn WHERE txn_id % 5 <> 0)"
 _DIST = f"""{_SIDES}, dists AS (SELECT t.txn_id AS id, (CASE WHEN r.type = t.type THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) + abs(r.amount - t.amount) + (CASE WHEN r.nameOrig = t.nameOrig THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS dist, max(r.isFraud) AS cls
   FROM train r, test t GROUP BY 1, 2)"""
 _TOP = f"{_DIST}, near AS (SELECT id, dist, cls, row_number() OVER (PARTITION BY id ORDER BY dist) AS rank FROM dists QUALIFY rank <= {NEIGHBOURS})"
@@ -147,38 +144,26 @@ _VOTE = f"{_TOP}, votes AS (SELECT id, cls, count(*) AS v FROM near GROUP BY 1,
 _OUT = f"{_VOTE}, shown AS (SELECT txn_id, type, amount, nameOrig, isFraud, prediction FROM pred JOIN test ON id = txn_id)"
 
 
-def _sides(s: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Training rows (four fifths) and test rows: all of the other fifth if whole, else the part that the SQL above states."""
+def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Training rows (four fifths) and test rows (the other fifth)."""
     rows = sources.transactions(s, d)
-    return rows.filter("txn_id % 5 <> 0"), rows.filter("txn_id % 5 = 0" if whole else "txn_id % 75 = 0")
+    return rows.filter("txn_id % 5 <> 0"), rows.filter("txn_id % 5 = 0")
 
 
-def _shown(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    train, test = _sides(s, d, whole)
+def _shown(s: SparkSession, d: str) -> DataFrame:
+    train, test = _sides(s, d)
     return knn.labelled(knn.knn(train, test, NEIGHBOURS), test)
 
 
-def _topk(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    train, test = _sides(s, d, whole)
-    return knn.nearest(knn.distances(train, knn.bounded(train, test, NEIGHBOURS)), NEIGHBOURS)
-
-
-def _knn(end: str, whole: bool, sql: Callable[[str], str | None]) -> None:
-    _add(f"knn_distances{end}", lambda s, d: knn.distances(*_sides(s, d, whole)).groupBy("id").agg(F.count("*").alias("n"), F.min("dist").alias("least"), F.max("dist").alias("most")), sql(f"WITH {_DIST} SELECT id, count(*) AS n, min(dist) AS least, max(dist) AS most FROM dists GROUP BY 1"))
-    _add(f"knn_topk{end}", lambda s, d: _topk(s, d, whole), sql(f"WITH {_TOP} SELECT * FROM near"))
-    for how in ("shuffle", "topk"):
-        _add(f"knn_predict_{how}{end}", lambda s, d, how=how: knn.knn(*_sides(s, d, whole), NEIGHBOURS, how), sql(f"WITH {_VOTE} SELECT * FROM pred"))
-    _add(f"knn_output{end}", lambda s, d: _shown(s, d, whole), sql(f"WITH {_OUT} SELECT * FROM shown"))
-    _add(f"knn_confusion{end}", lambda s, d: knn.confusion(_shown(s, d, whole)), sql(f"WITH {_OUT} SELECT count(*) FILTER (isFraud = 1 AND prediction = 1) AS tp, count(*) FILTER (isFraud = 0 AND prediction = 1) AS fp, count(*) FILTER (isFraud = 0 AND prediction = 0) AS tn, count(*) FILTER (isFraud = 1 AND prediction = 0) AS fn FROM shown"))
-
-
-_knn("", False, lambda sql: sql)
-# all held-out rows; the SQL's pairs are too many beyond small tables, so these are tested by brute force
-_knn("_whole", True, lambda sql: None)
+_add("knn_distances", lambda s, d: knn.distances(*_sides(s, d)).groupBy("id").agg(F.count("*").alias("n"), F.min("dist").alias("least"), F.max("dist").alias("most")), f"WITH {_DIST} SELECT id, count(*) AS n, min(dist) AS least, max(dist) AS most FROM dists GROUP BY 1")
+_add("knn_topk", lambda s, d: knn.nearest_cells(*_sides(s, d), NEIGHBOURS), f"WITH {_TOP} SELECT * FROM near")
+for _s in ("shuffle", "topk"):
+    _add(f"knn_predict_{_s}", lambda s, d, how=_s: knn.knn(*_sides(s, d), NEIGHBOURS, how), f"WITH {_VOTE} SELECT * FROM pred")
+_add("knn_output", _shown, f"WITH {_OUT} SELECT * FROM shown")
+_add("knn_confusion", lambda s, d: knn.confusion(_shown(s, d)), f"WITH {_OUT} SELECT count(*) FILTER (isFraud = 1 AND prediction = 1) AS tp, count(*) FILTER (isFraud = 0 AND prediction = 1) AS fp, count(*) FILTER (isFraud = 0 AND prediction = 0) AS tn, count(*) FILTER (isFraud = 1 AND prediction = 0) AS fn FROM shown")
 
 # ------------------------------------------------ helpers
 _add("test_ids", lambda s, d: helpers.row_ids(_sides(s, d)[1].select("txn_id"), "txn_id"), f"WITH {_SIDES} SELECT txn_id, 10000 + row_number() OVER (ORDER BY txn_id) AS id FROM test")
-_add("test_ids_whole", lambda s, d: helpers.row_ids(_sides(s, d, True)[1].select("txn_id"), "txn_id"))
 _add("amount_min_max", lambda s, d: helpers.amount_extremes(sources.transactions(s, d)), f"WITH {TXN} SELECT min(trunc(amount))::INTEGER AS min_amount, max(trunc(amount))::INTEGER AS max_amount FROM txn")
 _add("txn_encoded", lambda s, d: helpers.encoded(sources.transactions(s, d)), f"""WITH {TXN} SELECT txn_id, step::DOUBLE AS step, (CASE type WHEN 'PAYMENT' THEN 4 WHEN 'TRANSFER' THEN 5 WHEN 'DEBIT' THEN 3 WHEN 'CASH_IN' THEN 1 WHEN 'CASH_OUT' THEN 2 ELSE 0 END)::DOUBLE AS type, amount,
 substr(nameOrig, 2)::DOUBLE AS nameOrig, oldBalOrg, newBalOrg, substr(nameDest, 2)::DOUBLE AS nameDest, oldBalDest, newBalDest, isFlagged::DOUBLE AS isFlagged, isFraud::DOUBLE AS isFraud FROM txn""")
@@ -202,17 +187,25 @@ def _part_sql(percent: int) -> str:
 _add("split_80_20", lambda s, d: _split_counts(s, d, helpers.split(sources.transactions(s, d), "txn_id", 80)), _part_sql(80))
 _add("split_stratified", _stratified, _part_sql(70))
 
-# ------------------------------------------------ tree ensembles: models aren't SQL
-for _n in ml.MODELS:
-    _add(f"ml_{_n}", lambda s, d, m=_n: ml.evaluated(helpers.encoded(sources.transactions(s, d)), m))
+
+def _random(s: SparkSession, d: str, parts: Callable[[DataFrame], tuple[DataFrame, DataFrame]], share: float) -> DataFrame:
+    """What any random split must have: all rows, none twice, and about the share of each class in the first part."""
+    a, b = parts(sources.transactions(s, d))
+    both = a.select("txn_id", "isFraud", F.lit(1).alias("first")).unionByName(b.select("txn_id", "isFraud", F.lit(0).alias("first")))
+    near = lambda v: (F.abs(F.avg(F.when(F.col("isFraud") == v, F.col("first"))) - share) < 0.1)
+    return both.agg(F.count("*").alias("n"), F.count_distinct("txn_id").alias("ids"), (near(0) & near(1)).alias("near"))
 
 
-def _summary(s: SparkSession, d: str) -> DataFrame:
-    out = None
-    for m in ml.MODELS:
-        row = QUERIES[f"ml_{m}"](s, d).select("model", F.col("auc" if m == "random_forest" else "accuracy").alias("score"))
-        out = row if out is None else out.union(row)
-    return out
+_WHOLE = f"WITH {TXN} SELECT count(*) AS n, count(DISTINCT txn_id) AS ids, true AS near FROM txn"
+_add("split_random", lambda s, d: _random(s, d, helpers.random_split, 0.8), _WHOLE)
+_add("split_random_stratified", lambda s, d: _random(s, d, lambda rows: helpers.stratified_split(rows, "isFraud"), 0.7), _WHOLE)
 
+# ------------------------------------------------ tree ensembles: models aren't SQL
+def _scored(s: SparkSession, d: str, *models: str) -> DataFrame:
+    return ml.scored(helpers.encoded(sources.transactions(s, d)), list(models))
 
-_add("ml_summary", _summary)
+
+for _n in ml.MODELS:
+    _add(f"ml_{_n}", lambda s, d, m=_n: _scored(s, d, m))
+_add("ml_summary", lambda s, d: _scored(s, d, *ml.MODELS).select("model", F.when(F.col("model") == "random_forest", F.col("auc")).otherwise(F.col("accuracy")).alias("score")))
+_add("ml_tree_rules", lambda s, d: sinks.model_lines(s, ml.fitted(helpers.encoded(sources.transactions(s, d)), "decision_tree")))

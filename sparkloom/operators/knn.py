@@ -1,34 +1,142 @@
-"""k nearest neighbours by distinct distance, vote and confusion counts."""
+"""k nearest neighbours by distinct distance, vote and confusion counts.
+
+Rows whose amount is null or not a number take no part, on either side. Distance: type mismatch + |amount difference| + party mismatch, added in
+this order; a missing type or party matches none.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import mismatch
+from sparkloom.plans.iterate import cut
 
 #: Test rows of a block; each is broadcast against all training rows.
 TEST_BLOCK = 20_000
+#: Ranges of amounts at most, and training rows of a cell on average; a range is cut into cells of equal width.
+RANGES, CELL = 1000, 64
 
 
-def distances(train: DataFrame, test: DataFrame) -> DataFrame:
-    """id, dist, cls: the largest class at each distinct distance. Test rows are a stated set, broadcast in blocks.
+def _real(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("amount").isNotNull() & ~F.isnan(F.col("amount").cast("double")))
 
-    Distance: type mismatch + |amount difference| + party mismatch, added in this order. A test row with a column `bound`
-    meets only training rows whose amounts differ by no more.
-    """
+
+def _asked(test: DataFrame) -> DataFrame:
+    return _real(test).select(F.col("txn_id").alias("id"), F.col("type").alias("t"), F.col("amount").alias("a"), F.col("nameOrig").alias("p"))
+
+
+def _distance() -> Column:
+    return mismatch(F.col("type"), F.col("t")) + F.abs(F.col("amount") - F.col("a")) + mismatch(F.col("nameOrig"), F.col("p"))
+
+
+def distances(train: DataFrame, test: DataFrame) -> DataFrame:
+    """id, dist, cls: the largest class at each distinct distance, of all pairs. Test rows are a stated set, broadcast in blocks."""
     blocks = max(1, -(-test.count() // TEST_BLOCK))
+    known = _real(train).select("type", "amount", "nameOrig", "isFraud")
     out = None
     for b in range(blocks):
-        asked = test.filter(F.pmod(F.xxhash64("txn_id"), F.lit(blocks)) == b).select(F.col("txn_id").alias("id"), F.col("type").alias("t"), F.col("amount").alias("a"), F.col("nameOrig").alias("p"), *[c for c in test.columns if c == "bound"])
-        near = F.abs(F.col("amount") - F.col("a")) <= F.col("bound") if "bound" in test.columns else None
-        pairs = train.select("type", "amount", "nameOrig", "isFraud").join(F.broadcast(asked), near)
-        dist = mismatch(F.col("type"), F.col("t")) + F.abs(F.col("amount") - F.col("a")) + mismatch(F.col("nameOrig"), F.col("p"))
-        part = pairs.select("id", dist.alias("dist"), F.col("isFraud").alias("cls"))
+        asked = _asked(test.filter(F.pmod(F.xxhash64("txn_id"), F.lit(blocks)) == b))
+        part = known.join(F.broadcast(asked)).select("id", _distance().alias("dist"), F.col("isFraud").alias("cls"))
         out = part if out is None else out.union(part)
     return out.groupBy("id", "dist").agg(F.max("cls").alias("cls"))
 
 
+class Grid:
+    """Cells of amounts, numbered in their order: ranges of like numbers of training rows, each cut into cells of equal width."""
+
+    def __init__(self, train: DataFrame):
+        amounts = _real(train).select(F.col("amount").cast("double").alias("amount"))
+        parts = [i / RANGES for i in range(RANGES + 1)]
+        cuts, self.rows = amounts.agg(F.percentile_approx("amount", parts, 100 * RANGES), F.count("*")).first()
+        self.cuts = sorted(set(cuts or []))  # at most RANGES + 1 numbers
+        self.ranges = max(1, len(self.cuts) - 1)
+        self.fine = max(1, -(-self.rows // (self.ranges * CELL)))
+        self.cells = self.ranges * self.fine
+
+    def number(self, df: DataFrame, amount: str) -> DataFrame:
+        """df with `cell`; amounts beyond the training rows' are in the first or last cell."""
+        if len(self.cuts) < 2:
+            return df.withColumn("cell", F.lit(0).cast("long"))
+        inner = [float("-inf"), *self.cuts[1:-1], float("inf")]
+        found = Bucketizer(splits=inner, inputCol="__amount", outputCol="__range", handleInvalid="keep").transform(df.withColumn("__amount", F.col(amount).cast("double")))
+        at = F.col("__range").cast("int")
+        low, high = (F.element_at(F.lit(x), at + 1) for x in (self.cuts[:-1], self.cuts[1:]))
+        part = F.floor((F.col("__amount") - low) / (high - low) * self.fine)
+        return found.withColumn("cell", at.cast("long") * self.fine + F.greatest(F.lit(0), F.least(F.lit(self.fine - 1), part))).drop("__amount", "__range")
+
+    def edges(self, df: DataFrame) -> DataFrame:
+        """df with `gap`: what is in no cell from `first` to `last` differs from `a` by more than this. Edges are drawn in by
+        a share of 1e-9, so that a rounded cell number makes no difference."""
+        if len(self.cuts) < 2:
+            return df.withColumn("gap", F.lit(float("inf")))
+
+        def edge(cell: Column) -> Column:
+            at = F.floor(cell / self.fine).cast("int")
+            low, high = (F.element_at(F.lit(x), at + 1) for x in (self.cuts[:-1], self.cuts[1:]))
+            return low + (high - low) * (cell % self.fine) / self.fine
+
+        slack = 1e-9 * max(abs(self.cuts[0]), abs(self.cuts[-1]), 1.0)
+        below = F.when(F.col("first") <= 0, F.lit(float("inf"))).otherwise(F.col("a") - edge(F.greatest(F.col("first"), F.lit(0))) - slack)
+        above = F.when(F.col("last") >= self.cells - 1, F.lit(float("inf"))).otherwise(edge(F.least(F.col("last"), F.lit(self.cells - 2)) + 1) - F.col("a") - slack)
+        return df.withColumn("gap", F.least(below, above))
+
+
+def _best(dists: DataFrame, k: int, *by: str) -> DataFrame:
+    """The k smallest distinct distances of each id, with the largest class at each."""
+    grouped = dists.groupBy(*by, "id", "dist").agg(F.max("cls").alias("cls"))
+    return grouped.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "id").orderBy("dist")).cast("long")).filter(F.col("rank") <= k)
+
+
+def _known(train: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
+    """Training rows by cell: all that differ, and of each type and amount the best classes of two parties.
+
+    A test row of another party than these needs no more of them: equal amounts, however many, are two rows. For its own
+    party it looks into the first table.
+    """
+    rows = _real(train).groupBy("type", "amount", "nameOrig").agg(F.max("isFraud").alias("isFraud"))
+    rows = cut(grid.number(rows, "amount"))
+    order = Window.partitionBy("type", "amount").orderBy(F.desc("isFraud"), "nameOrig")
+    return rows, cut(rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2).drop("n"))
+
+
+def nearest_cells(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
+    """id, dist, cls, rank of the k smallest distinct distances, by equality joins on cells of amounts.
+
+    A test row meets the training rows of its own cell and those next to it. Its answer is final if the k-th distance is smaller
+    than what any other cell's row can have; else it is asked again, of all cells within its k-th distance, or of four times
+    as many on each side where it has met fewer than k distances. Each cell's rows are cut to k before they are shuffled by id.
+    """
+    grid = Grid(train)
+    every, few = _known(train, grid)
+    asked = cut(grid.number(_asked(test), "a"))
+    done, reach = None, 1
+    todo = grid.edges(asked.withColumn("first", F.col("cell") - reach).withColumn("last", F.col("cell") + reach))
+    while True:
+        spread = todo.withColumn("cell", F.explode(F.sequence(F.greatest(F.col("first"), F.lit(0).cast("long")), F.least(F.col("last"), F.lit(grid.cells - 1).cast("long")))))
+        spread = spread.select("cell", "id", "t", "a", "p")
+        own = every.withColumnRenamed("cell", "c").join(spread, (F.col("c") == F.col("cell")) & (F.col("nameOrig") == F.col("p")))
+        pairs = few.join(spread, "cell").unionByName(own.drop("c")).select("cell", "id", _distance().alias("dist"), F.col("isFraud").alias("cls"))
+        found = cut(_best(_best(pairs, k, "cell").drop("rank", "cell"), k))
+        bound = found.groupBy(F.col("id").alias("of")).agg(F.count("*").alias("n"), F.max("dist").alias("most"))
+        judged = cut(todo.join(bound, F.col("id") == F.col("of"), "left").drop("of"))
+        full = F.coalesce(F.col("n"), F.lit(0)) >= k
+        final = (full & (F.col("most") < F.col("gap"))) | (F.col("gap") == float("inf"))
+        ready = found.join(judged.filter(final).select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi")
+        done = ready if done is None else done.union(ready)
+        rest = judged.filter(~final)
+        if rest.isEmpty():
+            return done.select("id", "dist", "cls", "rank")
+        reach *= 4
+        # of the cells that hold amounts within the k-th distance
+        near = grid.number(grid.number(rest.drop("cell").withColumn("low", F.col("a") - F.col("most")).withColumn("high", F.col("a") + F.col("most")), "low").withColumnRenamed("cell", "low_cell"), "high").withColumnRenamed("cell", "high_cell")
+        own = grid.number(near, "a")
+        full = F.coalesce(F.col("n"), F.lit(0)) >= k
+        own = own.withColumn("first", F.when(full, F.least("low_cell", "first") - 1).otherwise(F.col("cell") - reach)).withColumn("last", F.when(full, F.greatest("high_cell", "last") + 1).otherwise(F.col("cell") + reach))
+        todo = cut(grid.edges(own.drop("low", "high", "low_cell", "high_cell", "n", "most", "gap")))
+
+
 def nearest(dists: DataFrame, k: int = 3, partial: bool = True) -> DataFrame:
     """id, dist, cls, rank of the k smallest distinct distances. partial: cut to k before the shuffle (a window's group
     limit); else all distances of an id are ranked after it."""
@@ -47,23 +155,10 @@ def vote(neighbours: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.max(F.struct(F.col("votes"), (-F.col("cls")).alias("low")))["low"].alias("low")).select("id", (-F.col("low")).alias("prediction"))
 
 
-#: One of so many training rows, by hash, gives the bounds.
-SHARE = 100
-
-
-def bounded(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
-    """test with `bound`: the k-th least distinct distance to a part of the training rows, which the k-th of all can't
-    exceed; infinite where the part has fewer. No training row further off in amount can be among the k."""
-    part = train.filter(F.pmod(F.xxhash64("txn_id"), F.lit(SHARE)) == 0)
-    found = nearest(distances(part, test), k).groupBy(F.col("id").alias("of")).agg(F.count("*").alias("n"), F.max("dist").alias("most")).filter(F.col("n") == k)
-    joined = test.join(found, F.col("txn_id") == F.col("of"), "left")
-    return joined.withColumn("bound", F.coalesce("most", F.lit(float("inf")))).drop("of", "n", "most")
-
-
 def knn(train: DataFrame, test: DataFrame, k: int = 3, strategy: str = "topk") -> DataFrame:
-    """id, prediction. `topk` bounds each test row first and cuts to k before the shuffle; `shuffle` ranks all distances."""
+    """id, prediction. `topk` joins near cells of amounts and cuts to k before the shuffle; `shuffle` ranks all distances."""
     if strategy == "topk":
-        return vote(nearest(distances(train, bounded(train, test, k)), k))
+        return vote(nearest_cells(train, test, k))
     return vote(nearest(distances(train, test), k, partial=False))
 
 

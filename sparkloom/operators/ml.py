@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .helpers import stratified_split
+
 FEATURES = ["step", "type", "amount", "nameOrig", "oldBalOrg", "newBalOrg", "nameDest", "oldBalDest", "newBalDest", "isFlagged"]
 
 MODELS = {
@@ -23,10 +26,24 @@ def prepared(encoded: DataFrame) -> DataFrame:
     return StringIndexer(inputCol="isFraud", outputCol="label").fit(rows).transform(rows).select("txn_id", "features", "label")
 
 
-def evaluated(encoded: DataFrame, model: str, train_tenths: int = 7) -> DataFrame:
-    """One row: model, auc and accuracy on the rows whose txn_id modulo 10 is train_tenths or more."""
-    rows = prepared(encoded)
-    train, test = rows.filter(F.col("txn_id") % 10 < train_tenths), rows.filter(F.col("txn_id") % 10 >= train_tenths)
-    out = MODELS[model]().fit(train).transform(test)
-    auc = BinaryClassificationEvaluator().evaluate(out)
-    return out.agg(F.lit(model).alias("model"), F.lit(auc).alias("auc"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
+def fitted(encoded: DataFrame, model: str):
+    """The model fitted to all rows, its features by their place in FEATURES."""
+    return MODELS[model]().fit(prepared(encoded))
+
+
+def scored(encoded: DataFrame, models: list[str], share: float = 0.7, seed: int = 20) -> DataFrame:
+    """model, auc and accuracy of each model, fitted to a stratified share of the rows, on the others.
+
+    The encoded rows are read once and kept while the models are fitted and judged; a lost part is encoded again.
+    """
+    rows = prepared(encoded).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train, test = stratified_split(rows, "label", share, seed)
+        out = []
+        for name in models:
+            judged = MODELS[name]().fit(train).transform(test)
+            accuracy = judged.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+            out.append((name, BinaryClassificationEvaluator().evaluate(judged), accuracy))
+        return encoded.sparkSession.createDataFrame(out, "model string, auc double, accuracy double")
+    finally:
+        rows.unpersist()

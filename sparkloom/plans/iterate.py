@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+_tops: set[str] = set()
+
+
+def _remove(sc, top: str) -> None:
+    if sc._jsc is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df below the folder of spark.checkpoint.dir (one of our own only if unset) and reads it; sizes are then known."""
+    """Writes df below the folder of spark.checkpoint.dir and reads it; sizes are then known, and lost executors cost no more
+    than their own tasks. A folder of our own only where none is set and Spark is local. The tables go when this Python ends."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/steps/{uuid.uuid4().hex}"
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    top = f"{sc._jsc.sc().getCheckpointDir().get()}/steps"
+    if top not in _tops:
+        _tops.add(top)
+        atexit.register(_remove, sc, top)
+    path = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -62,12 +62,11 @@ def edges(spark: SparkSession, sf_dir: str, modulus: int = 1000) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % modulus).alias("follower"), (F.col("l_partkey") % modulus).alias("user"))
 
 
-def hops(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """A directed graph src -> dst over the customers' numbers: of all orders if whole, else of those below 200000."""
+def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directed graph src -> dst over the customers' numbers, of all orders."""
     n = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
-    orders = table(spark, sf_dir, "orders")
-    chosen = (orders if whole else orders.filter("o_totalprice < 200000")).select("o_custkey", "o_orderkey")
-    return chosen.join(F.broadcast(n)).select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % F.col("n")).alias("dst"))  # n is one row
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return orders.join(F.broadcast(n)).select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % F.col("n")).alias("dst"))  # n is one row
 
 
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Sinks: text, delimited files, previews and plans. Every writer replaces what was there."""
+"""Sinks: text, delimited files, previews, plans and models. Every writer replaces what was there."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,8 @@ def preview(df: DataFrame, rows: int = 20) -> DataFrame:
 def plan(df: DataFrame, mode: str = "extended") -> str:
     """The plan's text."""
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+def model_lines(spark: SparkSession, model) -> DataFrame:
+    """line, text: a fitted tree model's rules, in order."""
+    return spark.createDataFrame(list(enumerate(model.toDebugString.rstrip("\n").split("\n"))), "line long, text string")
