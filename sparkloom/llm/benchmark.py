@@ -34,7 +34,7 @@ from .common import NON_WORD, checkpoint, mix, read, shingle_hashes, slices, tid
 
 WORDS, SIMILAR = 5, 0.8
 #: Bits of a fingerprint, in blocks of 16; bits of a block that a window's lookup and an item's entries reach.
-BITS, REACH, NEAR = 256, 2, 1
+BITS, REACH, NEAR = 256, 1, 2
 BLOCKS = BITS // 16
 RADIUS = BLOCKS * (REACH + NEAR + 1) - 1
 #: Steps of a unit of weight: sums are whole numbers, so that equal windows are equal.
@@ -97,9 +97,11 @@ class Items:
         codes = np.arange(BLOCKS)[None, :, None] * 65536 + (prints[real][:, :, None] ^ near).astype(np.int64)
         holder = np.broadcast_to(np.array(real, np.int64)[:, None, None], codes.shape).ravel()
         order = np.argsort(codes.ravel(), kind="stable")
-        self.held = holder[order]
-        self.head = np.searchsorted(codes.ravel()[order], np.arange(BLOCKS * 65536 + 1))
+        self.held = holder[order].astype(np.int32)
+        self.head = np.searchsorted(codes.ravel()[order], np.arange(BLOCKS * 65536 + 1)).astype(np.int32)
         self.masks = within(REACH)
+        # windows of one size meet items of that size only
+        self.size_of = self.sizes.astype(np.int32)
 
     def places(self, shingles: np.ndarray) -> np.ndarray:
         """Each shingle's place among the items' shingles, -1 for others."""
@@ -113,13 +115,13 @@ class Items:
         found = []
         for low in range(0, len(prints), TOGETHER):
             part = prints[low : low + TOGETHER]
-            bucket = (np.arange(BLOCKS)[:, None] * 65536 + (part[:, :, None] ^ self.masks)).reshape(len(part), -1)
-            begin, count = self.head[bucket], self.head[bucket + 1] - self.head[bucket]
-            row, at = np.nonzero(count)
-            begin, count = begin[row, at], count[row, at]
-            item = self.held[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
-            row = np.repeat(row, count)
-            fit = self.sizes[item] == sizes[low + row]
+            bucket = (np.arange(BLOCKS)[:, None] * 65536 + (part[:, :, None] ^ self.masks)).ravel()
+            begin = self.head[bucket]
+            count = self.head[bucket + 1] - begin
+            ends = np.cumsum(count, dtype=np.int64)
+            item = self.held[np.repeat(begin - ends + count, count) + np.arange(int(ends[-1]))]
+            row = np.repeat(np.repeat(np.arange(len(part)), BLOCKS * len(self.masks)), count)
+            fit = np.flatnonzero(self.size_of[item] == sizes[low + row])
             both = np.unique(row[fit] * len(self.ids) + item[fit])
             row, item = both // len(self.ids), both % len(self.ids)
             words = np.ascontiguousarray(part).view(np.uint64).reshape(len(part), BLOCKS // 4)
@@ -194,6 +196,18 @@ class Items:
         return [(i, s, at) for i, (s, at) in sorted(best.items())]
 
 
+_prepared: dict[int, Items] = {}
+
+
+def prepared(ids: list[int], texts: list[str], total: int, shared: dict[str, np.ndarray] | None) -> Items:
+    """The block, made once for a worker's tasks."""
+    key = hash((tuple(ids), tuple(texts), total, None if shared is None else (shared["shingle"].tobytes(), shared["n"].tobytes())))
+    if key not in _prepared:
+        _prepared.clear()
+        _prepared[key] = Items(ids, texts, total, shared)
+    return _prepared[key]
+
+
 def shared_shingles(items: DataFrame) -> DataFrame:
     """(block, shingle, n): the shingles that n > 1 rows of items hold, for each block of such a row; checkpointed."""
 
@@ -229,7 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], total, held))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Items(*shared.value)
+            own = prepared(*shared.value)
             for batch in batches:
                 for part in slices(batch, "__text"):
                     words, rows, _, _, _ = word_hashes(part.column("__text"), NON_WORD)
