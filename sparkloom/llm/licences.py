@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import NON_WORD, _odd, read, shingle_hashes, slices, tidy, word_hashes
 
 WORDS, CONTAINED, BANDS = 5, 0.8, 48
+FACTORS = _odd(BANDS, 9)
 #: Shingles that are hashed at once, at least; a document's stretches of so many overlap by its widest window.
 STRETCH = 1 << 15
 #: Whole texts of common licences, one file each, named by its licence. Read by the driver.
@@ -46,15 +47,9 @@ def templates(folder: Path | str = TEXTS) -> dict[str, str]:
     return NOTICES | {f"{f.stem}-text": f.read_text() for f in sorted(Path(folder).glob("*.txt"))}
 
 
-def minima(shingles: np.ndarray, width: int) -> np.ndarray:
-    """BANDS minima of each `width` shingles, from the first on; the last group may be shorter."""
-    factors = _odd(BANDS, 9)
-    cuts = np.arange(0, len(shingles), width)
-    out = np.empty((len(cuts), BANDS), np.uint32)
-    for b in range(BANDS):
-        values = ((shingles * factors[b]) >> np.uint64(32)).astype(np.uint32)
-        out[:, b] = values if width == 1 else np.minimum.reduceat(values, cuts)
-    return out
+def values(shingles: np.ndarray, band: int) -> np.ndarray:
+    """The numbers whose minimum is a band's."""
+    return ((shingles * FACTORS[band]) >> np.uint64(32)).astype(np.uint32)
 
 
 def best_run(places: np.ndarray, length: int, width: int) -> tuple[int, int]:
@@ -87,7 +82,7 @@ class Templates:
         for i, s in enumerate(self.sets):
             if len(s):
                 self.classes.setdefault(1 << (int((of == i).sum()) - 1).bit_length(), []).append(i)
-        self.marks = {i: minima(s, len(s))[0] for i, s in enumerate(self.sets) if len(s)}
+        self.marks = {i: [values(s, b).min() for b in range(BANDS)] for i, s in enumerate(self.sets) if len(s)}
 
     def verify(self, shingles: np.ndarray, i: int, width: int) -> tuple[float, int]:
         own = self.sets[i]
@@ -119,19 +114,28 @@ class Templates:
         for group in self.stretches(rows):
             part = np.concatenate([shingles[a:z] for a, z, _ in group])
             sizes = np.array([z - a for a, z, _ in group])
-            first = np.cumsum(sizes) - sizes
-            finest = minima(part, 1)
-            for m, members in sorted(self.classes.items()):
+            # for each class, finer ones first: blocks of m shingles by blocks of the class before, and whether the next is the same piece's
+            levels, finer, counts = [], 1, sizes
+            for m in sorted(self.classes):
+                first = np.cumsum(counts) - counts
                 counts = -(-sizes // m)
                 of = np.repeat(np.arange(len(group)), counts)
                 number = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-                cuts = first[of] + number * m
-                blocks = finest if m == 1 else np.minimum.reduceat(finest, cuts, axis=0)
-                windows = blocks.copy()
-                next_too = of[1:] == of[:-1]
-                windows[:-1][next_too] = np.minimum(blocks[:-1][next_too], blocks[1:][next_too])
-                for i in members:
-                    for j in np.flatnonzero((windows == self.marks[i]).any(1)).tolist():
+                levels.append((m, first[of] + number * (m // finer) if m > 1 else None, of[1:] != of[:-1], of, number))
+                finer = m
+            hits = {i: np.zeros(len(of), bool) for m, _, _, of, _ in levels for i in self.classes[m]}
+            for band in range(BANDS):
+                blocks = values(part, band)
+                for m, cuts, ends, _, _ in levels:
+                    if cuts is not None:
+                        blocks = np.minimum.reduceat(blocks, cuts)
+                    windows = blocks.copy()
+                    np.minimum(blocks[:-1], np.where(ends, blocks[:-1], blocks[1:]), out=windows[:-1])
+                    for i in self.classes[m]:
+                        hits[i] |= windows == self.marks[i][band]
+            for m, _, _, of, number in levels:
+                for i in self.classes[m]:
+                    for j in np.flatnonzero(hits[i]).tolist():
                         a, z, row = group[of[j]]
                         begin = a + int(number[j]) * m
                         share, at = self.verify(shingles[begin : min(begin + 2 * m, z)], i, m)
