@@ -4,8 +4,8 @@ Each component of a block of candidates is a sorted list; a query reads a list f
 most. After reading to a common depth, a candidate's bounds follow from what was read: unread components count between the
 list's far end (lower) and the value at the frontier (upper). The bar is the k-th best score of earlier blocks or the k-th best
 lower bound. No candidate's upper bound is below the frontiers' own sum, so a query first reads to the depth where that sum falls
-under its bar, then on step by step; candidates whose upper bound is below the bar leave, each query's by themselves. It stops when
-no more than k are left, or at the lists' ends, and the scores of what is left are resolved. Queries and candidates are worked on
+under its bar, then on step by step; candidates whose upper bound is below the bar are outsiders, each query's by themselves. It
+stops when all but SPARE * k are outsiders, or at the lists' ends, and the scores of the others are resolved. Queries and candidates are worked on
 as matrices: an upper bound is q+ . max(x, frontier) + q- . min(x, frontier), a lower one likewise. How deep lists must be read is up to
 the vectors: far less than half if few components carry the scores, nearly all if they are spread evenly (README).
 
@@ -34,8 +34,11 @@ from .common import read, tidy
 SCALE = 64
 #: Rows of a block of queries, of a tile of candidates, of candidates with lists of their own, and of queries worked on at once.
 ASKED, TILE, CANDIDATES, TOGETHER = 8192, 1 << 17, 8192, 64
-#: Depths that a list is read to, in equal steps.
-STEPS = 8
+#: Depths that lists are read to, as shares of their length, before they are read to their ends; candidates whose lists are read
+#: whole, if none are known before, so that the others meet a bar.
+DEPTHS, FIRST = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 7 / 8), 256
+#: Reading stops when all but so many candidates for each one wanted are outsiders that can't qualify; their scores are resolved.
+SPARE = 3
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -59,7 +62,13 @@ def cut(scores: np.ndarray) -> np.ndarray:
     return np.minimum(np.maximum(scores, LEAST), MOST) if scores.dtype == object else scores
 
 
-def aggregate(queries: np.ndarray, items: np.ndarray, want: np.ndarray, bar: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def kth(scores: np.ndarray, k: int):
+    """The k-th highest."""
+    at = len(scores) - k
+    return sorted(scores.tolist())[at] if scores.dtype == object else np.partition(scores, at)[at]
+
+
+def aggregate(queries: np.ndarray, items: np.ndarray, want: np.ndarray, bar: np.ndarray, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the items that are left for some query, all queries' scores of these, for which query each is left, and the share
     of the lists that each query has read.
 
@@ -68,7 +77,7 @@ def aggregate(queries: np.ndarray, items: np.ndarray, want: np.ndarray, bar: np.
     gain, loss = np.maximum(queries, 0), np.minimum(queries, 0)
     lists = np.sort(items, 0)
     n = len(items)
-    marks = [max(1, n * (g + 1) // steps) for g in range(steps - 1)]  # entries read of each list; the last step reads all
+    marks = [max(1, int(n * d)) for d in depths]  # entries read of each list
     sums = [gain @ lists[n - r] + loss @ lists[r - 1] for r in marks]
     bar = bar.astype(object if items.dtype == object else float)
     alive = np.arange(n)
@@ -82,14 +91,13 @@ def aggregate(queries: np.ndarray, items: np.ndarray, want: np.ndarray, bar: np.
             continue
         top, bottom = lists[n - read], lists[read - 1]
         x = items[alive]
-        if not known[ask].all():
-            lower = cut(gain[ask] @ np.where(x >= top, x, lists[0]).T + loss[ask] @ np.where(x <= bottom, x, lists[-1]).T)
-            for i, q in enumerate(ask.tolist()):
-                if len(alive) >= want[q]:
-                    bar[q] = max(bar[q], np.sort(lower[i])[len(alive) - want[q]])
+        lower = cut(gain[ask] @ np.where(x >= top, x, lists[0]).T + loss[ask] @ np.where(x <= bottom, x, lists[-1]).T)
+        for i, q in enumerate(ask.tolist()):
+            if len(alive) >= want[q]:
+                bar[q] = max(bar[q], kth(lower[i], want[q]))
         upper = cut(gain[ask] @ np.maximum(x, top).T + loss[ask] @ np.minimum(x, bottom).T)
         left[np.ix_(ask, alive)] &= (upper >= bar[ask, None]).astype(bool)
-        done = ask[left[ask].sum(1) <= want[ask]]
+        done = ask[left[ask].sum(1) <= SPARE * want[ask]]
         depth[done] = read / n
         open_[done] = False
         alive = np.flatnonzero(left.any(0))
@@ -122,6 +130,13 @@ class Search:
             return
         own, values = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.size = [], 0
+        cut = FIRST if len(own) > 4 * FIRST and (self.count < self.k).any() else 0
+        if cut:
+            self.block(own[:cut], values[:cut])
+        self.block(own[cut:], values[cut:])
+
+    def block(self, own: np.ndarray, values: np.ndarray) -> None:
+        """Searches candidates with lists of their own."""
         order = np.argsort(own, kind="stable")
         own, values = own[order], values[order]
         k = self.k
@@ -138,7 +153,7 @@ class Search:
                 fair = left[i] & (own[alive] != ids[i])
                 c_ids, c = own[alive[fair]], scores[i, fair]
                 if len(c) > k:
-                    bound = np.sort(c)[len(c) - k]
+                    bound = kth(c, k)
                     c_ids, c = c_ids[c >= bound], c[c >= bound]
                 c_ids = np.concatenate([self.best[q, : self.count[q]], c_ids]).tolist()
                 c = [int(x) for x in [*self.scores[q, : self.count[q]], *c.tolist()]]
@@ -172,7 +187,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vector: str = "embed
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_items, n_asked = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     blocks = max(1, -(-n_asked // ASKED))
-    tiles = max(1, -(-n_items // TILE), min(-(-n_items // 1024), -(-spark.sparkContext.defaultParallelism // blocks)))
+    tiles = max(1, -(-n_items // TILE), min(-(-n_items // 1024), -(-3 * spark.sparkContext.defaultParallelism // blocks)))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     tile = F.pmod(F.monotonically_increasing_id(), F.lit(tiles)).cast("int")  # not by id, which may repeat
