@@ -26,5 +26,19 @@ def tagged(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """follower and its users in order, space-separated. For display: a vertex's list must fit in a row."""
+    """follower and its users in order, space-separated. For display: a vertex's list must fit in a row; adjacency_parts
+    bounds the lists."""
     return edges.groupBy("follower").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("user")), lambda x: x.cast("string"))).alias("neighbors"))
+
+
+def adjacency_parts(edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """follower, part (from 0) and users in order: the adjacency list in parts of about `most`, each in one row.
+
+    A user's part follows from its hash and the follower's number of users, so no task sorts all users of a follower; users are in
+    order in a part, each user's repeats in one.
+    """
+    sizes = edges.groupBy("follower").agg(F.count("*").alias("n"))
+    parts = sizes.filter(F.col("n") > most).select(F.col("follower").alias("f"), F.ceil(F.col("n") / most).alias("parts"))
+    # few followers have more; the others' one part needs no join to be known
+    dealt = edges.join(parts, F.col("follower") == F.col("f"), "left").select("follower", "user", F.coalesce(F.pmod(F.xxhash64("user"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    return dealt.groupBy("follower", "part").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("user")), lambda x: x.cast("string"))).alias("neighbors"))

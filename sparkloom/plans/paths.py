@@ -43,5 +43,3 @@ def eccentricity(edges: DataFrame, source: int) -> DataFrame:
     out = shortest_paths(edges, source).agg(F.max("d").alias("n"))
     return out.filter("n > 0").select(F.lit("Diameter").alias("name"), "n")
 
-
-diameter = eccentricity

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom import catalogue, sources
+from sparkloom import catalogue, sources, streaming
 from sparkloom.operators import degree, edges, helpers, knn, triangles
 from sparkloom.plans import kmeans, pagerank, paths
 from sparkloom.sources import sinks
@@ -170,3 +170,29 @@ def test_gathered_counts_in_parts(spark):
         got = degree.follower_count(rows, how)
         assert [tuple(r) for r in got.collect()] == [(1, 8000)]
         assert "spark_partition_id" in sinks.plan(got, "extended").lower()
+
+
+def test_adjacency_in_parts(spark):
+    rows = spark.range(900).select((F.col("id") % 2 * F.col("id") % 5).alias("follower"), (F.col("id") % 300).alias("user"))
+    whole = {r["follower"]: sorted(map(int, r["neighbors"].split())) for r in edges.adjacency(rows).collect()}
+    got = {}
+    for r in edges.adjacency_parts(rows, 100).collect():
+        users = list(map(int, r["neighbors"].split()))
+        assert users == sorted(users) and len(users) < 250
+        got.setdefault(r["follower"], []).extend(users)
+    assert {f: sorted(u) for f, u in got.items()} == whole
+
+
+def test_stream(spark, tmp_path):
+    """The running count over files of edges is the batch count of all of them."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("1,2\n3,2\n1,4\n")
+    query = streaming.follower_count(streaming.edge_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "check")).start()
+    try:
+        query.processAllAvailable()
+        assert {tuple(r) for r in spark.table("counts").collect()} == {(2, 2), (4, 1)}
+        (tmp_path / "in" / "b.csv").write_text("5,4\n6,7\n")
+        query.processAllAvailable()
+        assert {tuple(r) for r in spark.table("counts").collect()} == {(2, 2), (4, 2), (7, 1)}
+    finally:
+        query.stop()
