@@ -33,7 +33,7 @@ from .common import read, tidy
 
 SCALE = 64
 #: Rows of a block of queries, of a tile of candidates, of candidates with lists of their own, and of queries worked on at once.
-ASKED, TILE, CANDIDATES, TOGETHER = 8192, 1 << 17, 8192, 64
+ASKED, TILE, CANDIDATES, TOGETHER = 8192, 1 << 17, 8192, 256
 #: Depths that lists are read to, as shares of their length, before they are read to their ends; candidates whose lists are read
 #: whole, if none are known before, so that the others meet a bar.
 DEPTHS, FIRST = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 7 / 8), 256
@@ -68,14 +68,13 @@ def kth(scores: np.ndarray, k: int):
     return sorted(scores.tolist())[at] if scores.dtype == object else np.partition(scores, at)[at]
 
 
-def aggregate(queries: np.ndarray, items: np.ndarray, want: np.ndarray, bar: np.ndarray, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def aggregate(queries: np.ndarray, items: np.ndarray, lists: np.ndarray, want: np.ndarray, bar: np.ndarray, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the items that are left for some query, all queries' scores of these, for which query each is left, and the share
     of the lists that each query has read.
 
-    want: how many items each query wants; bar: a score that as many others are known to reach, -inf if there are none.
+    lists: each component of the items in ascending order; want: how many items each query wants; bar: a score that as many others are known to reach, -inf if there are none.
     """
     gain, loss = np.maximum(queries, 0), np.minimum(queries, 0)
-    lists = np.sort(items, 0)
     n = len(items)
     marks = [max(1, int(n * d)) for d in depths]  # entries read of each list
     sums = [gain @ lists[n - r] + loss @ lists[r - 1] for r in marks]
@@ -140,18 +139,20 @@ class Search:
         order = np.argsort(own, kind="stable")
         own, values = own[order], values[order]
         k = self.k
+        every, items = scaled(self.values, values)
+        lists = np.sort(items, 0)
         for a in range(0, len(self.ids), TOGETHER):
             at = self.order[a : a + TOGETHER]
-            ids = self.ids[at]
-            queries, items = scaled(self.values[at], values)
+            ids, queries = self.ids[at], every[at]
             # a query's own rows are among the candidates until they are taken out
             want = k + np.searchsorted(own, ids, "right") - np.searchsorted(own, ids)
             bar = np.array([s[k - 1] if c >= k else -math.inf for s, c in zip(self.scores[at], self.count[at], strict=True)], object)
-            alive, scores, left, depth = aggregate(queries, items, want, bar)
+            alive, scores, left, depth = aggregate(queries, items, lists, want, bar)
             self.read.append(depth)
+            others = own[alive]
             for i, q in enumerate(at.tolist()):
-                fair = left[i] & (own[alive] != ids[i])
-                c_ids, c = own[alive[fair]], scores[i, fair]
+                fair = np.flatnonzero(left[i] & (others != ids[i]))
+                c_ids, c = others[fair], scores[i, fair]
                 if len(c) > k:
                     bound = kth(c, k)
                     c_ids, c = c_ids[c >= bound], c[c >= bound]
@@ -187,7 +188,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vector: str = "embed
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_items, n_asked = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     blocks = max(1, -(-n_asked // ASKED))
-    tiles = max(1, -(-n_items // TILE), min(-(-n_items // 1024), -(-3 * spark.sparkContext.defaultParallelism // blocks)))
+    tiles = max(1, -(-n_items // TILE), min(-(-n_items // 1024), -(-2 * spark.sparkContext.defaultParallelism // blocks)))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     tile = F.pmod(F.monotonically_increasing_id(), F.lit(tiles)).cast("int")  # not by id, which may repeat
