@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import mismatch
 from sparkloom.plans.iterate import cut
 
-#: Test rows of a block; each is broadcast against all training rows.
-TEST_BLOCK = 20_000
+#: Test rows of a block; each is broadcast against all training rows. Training rows of a task, at most about.
+TEST_BLOCK, TRAIN_ROWS = 20_000, 50_000
 #: Ranges of amounts at most, and training rows of a cell on average; a range is cut into cells of equal width.
 RANGES, CELL = 1000, 64
 
@@ -32,9 +32,13 @@ def _distance() -> Column:
 
 
 def distances(train: DataFrame, test: DataFrame) -> DataFrame:
-    """id, dist, cls: the largest class at each distinct distance, of all pairs. Test rows are a stated set, broadcast in blocks."""
+    """id, dist, cls: the largest class at each distinct distance, of all pairs. Test rows are a stated set, broadcast in blocks.
+
+    Training rows are dealt out first: each makes as many pairs as there are test rows, so few of them are work for a task.
+    """
     blocks = max(1, -(-test.count() // TEST_BLOCK))
     known = _real(train).select("type", "amount", "nameOrig", "isFraud")
+    known = known.repartition(max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // TRAIN_ROWS)))
     out = None
     for b in range(blocks):
         asked = _asked(test.filter(F.pmod(F.xxhash64("txn_id"), F.lit(blocks)) == b))
