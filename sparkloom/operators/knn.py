@@ -16,7 +16,9 @@ from sparkloom.plans.iterate import cut
 #: Test rows of a block; each is broadcast against all training rows. Training rows of a task, at most about.
 TEST_BLOCK, TRAIN_ROWS = 20_000, 50_000
 #: Ranges of amounts at most, and training rows of a cell on average; a range is cut into cells of equal width.
-RANGES, CELL = 1000, 64
+RANGES, CELL = 1000, 32
+#: Test rows of a cell that go to one task, and cells with more of them that are broadcast at most.
+CROWD, CROWDS = 20_000, 100_000
 
 
 def _real(df: DataFrame) -> DataFrame:
@@ -87,10 +89,15 @@ class Grid:
         return df.withColumn("gap", F.least(below, above))
 
 
-def _best(dists: DataFrame, k: int, *by: str) -> DataFrame:
+def _near(dists: DataFrame, k: int, *by: str) -> DataFrame:
+    """The rows of each id, within `by`, with its k smallest distinct distances."""
+    return dists.withColumn("rank", F.dense_rank().over(Window.partitionBy(*by, "id").orderBy("dist"))).filter(F.col("rank") <= k).drop("rank")
+
+
+def _best(dists: DataFrame, k: int) -> DataFrame:
     """The k smallest distinct distances of each id, with the largest class at each."""
-    grouped = dists.groupBy(*by, "id", "dist").agg(F.max("cls").alias("cls"))
-    return grouped.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "id").orderBy("dist")).cast("long")).filter(F.col("rank") <= k)
+    grouped = dists.groupBy("id", "dist").agg(F.max("cls").alias("cls"))
+    return grouped.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist")).cast("long")).filter(F.col("rank") <= k)
 
 
 def _known(train: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
@@ -105,6 +112,20 @@ def _known(train: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
     return rows, cut(rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2).drop("n"))
 
 
+def _dealt(spread: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `salt`: a cell of many test rows is dealt out to several tasks, its few training rows to each. The test
+    rows come by cell and salt, so that what a task joins it can also cut to k before the next shuffle."""
+    crowded = spread.groupBy("cell").count().filter(F.col("count") > CROWD).select(F.col("cell").alias("of"), F.ceil(F.col("count") / CROWD).cast("int").alias("salts"))
+    crowded = cut(crowded)
+    if crowded.count() <= CROWDS:
+        crowded = F.broadcast(crowded)
+    asking = spread.join(crowded, F.col("cell") == F.col("of"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).cast("int"))
+    met = few.join(crowded, F.col("cell") == F.col("of"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    # a stated number: these rows are few bytes, but each makes many pairs
+    parts = max(int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spread.count() // CROWD))
+    return asking.drop("of", "salts").repartition(parts, "cell", "salt"), met.drop("of", "salts")
+
+
 def nearest_cells(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
     """id, dist, cls, rank of the k smallest distinct distances, by equality joins on cells of amounts.
 
@@ -115,14 +136,16 @@ def nearest_cells(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
     grid = Grid(train)
     every, few = _known(train, grid)
     asked = cut(grid.number(_asked(test), "a"))
+    pair = ["id", _distance().alias("dist"), F.col("isFraud").alias("cls")]
     done, reach = None, 1
     todo = grid.edges(asked.withColumn("first", F.col("cell") - reach).withColumn("last", F.col("cell") + reach))
     while True:
         spread = todo.withColumn("cell", F.explode(F.sequence(F.greatest(F.col("first"), F.lit(0).cast("long")), F.least(F.col("last"), F.lit(grid.cells - 1).cast("long")))))
         spread = spread.select("cell", "id", "t", "a", "p")
         own = every.withColumnRenamed("cell", "c").join(spread, (F.col("c") == F.col("cell")) & (F.col("nameOrig") == F.col("p")))
-        pairs = few.join(spread, "cell").unionByName(own.drop("c")).select("cell", "id", _distance().alias("dist"), F.col("isFraud").alias("cls"))
-        found = cut(_best(_best(pairs, k, "cell").drop("rank", "cell"), k))
+        asking, met = _dealt(spread, few)
+        near = _near(asking.join(met, ["cell", "salt"]).select("cell", "salt", *pair), k, "cell", "salt")
+        found = cut(_best(near.select("id", "dist", "cls").unionByName(own.select(*pair)), k))
         bound = found.groupBy(F.col("id").alias("of")).agg(F.count("*").alias("n"), F.max("dist").alias("most"))
         judged = cut(todo.join(bound, F.col("id") == F.col("of"), "left").drop("of"))
         full = F.coalesce(F.col("n"), F.lit(0)) >= k

@@ -142,6 +142,7 @@ def test_no_nested_loop_in_nearest_cells(spark, monkeypatch):
     test = [(1000 + i, "PAYMENT" if i % 2 else "CASH_IN", float(x), f"C{i}", 0) for i, x in enumerate([50, 51, 0, -1e9, 1e9, 1450.5, 49.5, 700])] + [(2000, "DEBIT", None, "C1", 0)]
     train, test = ([(*r[:4], int(r[4])) for r in x] for x in (train, test))
     monkeypatch.setattr(knn, "CELL", 4)
+    monkeypatch.setattr(knn, "CROWD", 2)
     got = {(r["id"], r["rank"]): (r["dist"], r["cls"]) for r in knn.nearest_cells(spark.createDataFrame(train, schema), spark.createDataFrame(test, schema), 3).collect()}
     want = {}
     for i, t, a, p, _ in test[:-1]:
