@@ -5,7 +5,7 @@ starts there (a constant above all others where none does), so the root is the l
 changes three leaves (the merged position, its right neighbour, its left live neighbour) and their ancestors only. Trees of
 equal size are worked on side by side as rows of one matrix.
 
-Nulls and empty texts give no tokens, an empty table gives one. Repeated rows are encoded each by itself; pairs of equal rank are merged
+Nulls and empty texts give no tokens, an empty table gives no rows. Repeated rows are encoded each by itself; pairs of equal rank are merged
 from the left. Very long texts are encoded whole, and a very long pre-token has a tree of its own. Other columns pass if kept;
 those named as the results are replaced.
 """

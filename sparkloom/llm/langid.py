@@ -8,7 +8,7 @@ of labelled documents: of the TRAIN_DOCS of each language with the least hash of
 all (LEAST_WINDOWS of a language at least); these bounds are parameters. Every label that occurs is learned.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text when no labelled document can be
-learned from. An empty table gives none. Rows without doc_id or lang are not learned from, and are predicted like all others;
+learned from. An empty table gives no rows. Rows without doc_id or lang are not learned from, and are predicted like all others;
 held_out is then false for a null doc_id. Equal probabilities: the language first in alphabetical order. Very long texts are read whole.
 Repeated rows are predicted each by itself. Other columns pass if kept; those named lang_pred or score are replaced.
 """

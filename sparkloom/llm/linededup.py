@@ -6,7 +6,7 @@ every key of two documents or more. Only lines whose bits all stand in it are su
 cryptographic digest of the key itself (its identity) and the document, and counted exactly. The filters grow with the
 text up to FILTER_BITS; beyond that load more suspects are shuffled, and the result is the same.
 
-Null and empty texts are one empty line and never change; an empty table gives one. Rows without a doc_id are no documents:
+Null and empty texts are one empty line and never change; an empty table gives no rows. Rows without a doc_id are no documents:
 they count for no line and keep their text. Repeated rows of a doc_id count as one document and lose the same lines; of
 documents that hold a line, the largest doc_id keeps it, in all its places, so ties don't arise. Very long texts are worked
 on alone, whole. Extra columns pass; columns named n_lines or n_dropped are replaced.

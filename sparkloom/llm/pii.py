@@ -8,8 +8,8 @@ spans are fixed: no candidate holds one. So found spans overlap neither each oth
 kinds may overlap, as their rules have it. Weights are learned by the driver from generated, labelled lines (a fixed seed), by
 gradients of the conditional likelihood.
 
-Null and empty texts have no spans, an empty table gives one. Very long texts are scanned whole; features are computed for STRETCH
-tokens at a time. Repeated rows are scanned each by itself. Equal segmentations: the one found first. Other columns pass
+Null and empty texts have no spans, an empty table gives no rows. Very long texts are scanned whole, very long windows in pieces that
+look ahead; features are computed for STRETCH tokens at a time. Repeated rows are scanned each by itself. Equal segmentations: the one found first. Other columns pass
 if kept; one named spans is replaced.
 """
 
@@ -443,8 +443,28 @@ def regions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
     return out
 
 
-#: Characters of windows that are put into one lattice; a longer window has its own.
-TOGETHER = 1 << 16
+#: Characters of windows that are put into one lattice. A window of more than LONG is decoded in pieces of so many, each of
+#: which looks LAP further: far more than an entity can have, so that what comes after makes no difference in practice.
+TOGETHER, LONG, LAP = 1 << 16, 1 << 18, 1 << 11
+
+
+def pieces(text: str, a: int, b: int, fixed: Callable[[int, int], list[tuple[int, int]]], field: Field) -> Iterator[tuple[int, int, int]]:
+    """(kind number, start, end) of the entities in text[a:b], piece by piece; each begins behind the last one's entities, and
+    sees what stands before it."""
+    first = a
+    while a < b:
+        cut = min(b, a + LONG)
+        until = min(b, cut + LAP)
+        low = max(first, a - REACH)
+        for kind, i, j in field.decode(Lattice([text[low:until]], [[(0, a - low)] * (a > low) + fixed(low, until)]))[0]:
+            if low + i < cut or until == b:
+                yield kind, low + i, low + j
+                cut = max(cut, low + j)
+        if until == b:
+            return
+        while cut < b and text[cut - 1].isalnum() and text[cut].isalnum():  # not within a token
+            cut += 1
+        a = cut
 
 
 def find_all(texts: list[str | None], field: Field) -> list[list[tuple[int, int, int, bool]]]:
@@ -464,9 +484,16 @@ def find_all(texts: list[str | None], field: Field) -> list[list[tuple[int, int,
         spans = sorted((a, b) for _, a, b in base)
         firsts = [a for a, _ in spans]
         longest = max((b - a for a, b in spans), default=0)
-        for a, b in regions(text, base) if text else ():
+
+        def fixed(a: int, b: int, spans=spans, firsts=firsts, longest=longest) -> list[tuple[int, int]]:
             near = spans[bisect_left(firsts, a - longest) : bisect_left(firsts, b)]
-            held.append((at, a, text[a:b], [(x - a, y - a) for x, y in near if y > a]))
+            return [(x - a, y - a) for x, y in near if y > a]
+
+        for a, b in regions(text, base) if text else ():
+            if b - a > LONG:
+                out[at].extend((*s, False) for s in pieces(text, a, b, fixed, field))
+                continue
+            held.append((at, a, text[a:b], fixed(a, b)))
             size += b - a
             if size >= TOGETHER:
                 work()

@@ -10,7 +10,7 @@ length is dropped without another try. Further kinds are added, never taken away
 characters does, and a block's header lines hold no dashes in a row, so that no hit reads what another has read and failed on:
 the time is in proportion to the text, also where keywords follow each other without end.
 
-Null and empty texts have no spans, an empty table gives one; very long texts are scanned whole; repeated rows are scanned each by
+Null and empty texts have no spans, an empty table gives no rows; very long texts are scanned whole; repeated rows are scanned each by
 itself. Equal starts: in the order of KINDS. Other columns pass if kept; one named spans is replaced.
 """
 

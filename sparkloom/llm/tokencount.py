@@ -12,7 +12,7 @@ words' counts and encodes new ones together, a mark between them. Nothing crosse
 it, no pattern of the splitter and no special token holds one, and neither looks ahead or back. A vocabulary with another splitter
 than SPLITTER has its texts encoded as they are.
 
-Null and empty texts have 0 bytes and 0 tokens, an empty table gives one; very long texts are counted whole. Repeated rows are
+Null and empty texts have 0 bytes and 0 tokens, an empty table gives no rows; very long texts are counted whole. Repeated rows are
 counted each by itself. Other columns pass if kept; those named as the results are replaced.
 """
 

@@ -16,7 +16,7 @@ Defined cases: components become floor(64 * x) exactly, whatever their size; sco
 range are cut to its ends and rank so. Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
 with a null vec_id. Candidates of another length than the query's have no score. Rows with a query's own vec_id are never its
 candidates; of repeated rows with a query's id the least vector is the query. Other repeated rows are candidates each. Ties: smaller
-vec_id. An empty table gives none. Other columns are ignored.
+vec_id. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

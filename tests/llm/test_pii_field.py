@@ -86,6 +86,18 @@ def test_together_as_alone(field):
     assert pii.find_all(texts, field) == [pii.find_pii(t, field) for t in texts]
 
 
+def test_pieces_of_long_windows(field, monkeypatch):
+    texts = [numbers(1500, s) + "call 555-123-4567 or 10.1.2.3, a@b.org " + numbers(1500, s + 50) for s in range(4)]
+    whole = pii.find_all(texts, field)
+    monkeypatch.setattr(pii, "LONG", 700)
+    monkeypatch.setattr(pii, "LAP", 300)
+    got = pii.find_all(texts, field)
+    for a, b in zip(got, whole, strict=True):
+        assert len(set(a) ^ set(b)) <= 2 and len(b) > 20  # near ties across a cut
+        own = sorted((x, y) for _, x, y, base in a if not base)
+        assert all(x[1] <= y[0] for x, y in zip(own, own[1:], strict=False))
+
+
 def test_a_long_text_of_numbers(field):
     began = time.perf_counter()
     assert pii.find_pii(numbers(250_000, 1)[: 1 << 20], field)
