@@ -6,7 +6,7 @@ changes three leaves (the merged position, its right neighbour, its left live ne
 equal size are worked on side by side as rows of one matrix.
 
 Nulls and empty texts give no tokens, an empty table gives no rows. Repeated rows are encoded each by itself; pairs of equal rank are merged
-from the left. Very long texts are encoded whole, and a very long pre-token has a tree of its own. Other columns pass if kept;
+from the left. Very long texts are encoded whole, some of their pre-tokens at a time, and a very long pre-token has a tree of its own. Other columns pass if kept;
 those named as the results are replaced.
 """
 
@@ -16,7 +16,7 @@ import base64
 import hashlib
 from collections import ChainMap
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens, and characters of them and their ids, that each of a worker's two generations of memory holds; the older goes when
 #: the younger is full. Longer pre-tokens than MEMO_LENGTH aren't remembered.
 MEMO, MEMO_CHARACTERS, MEMO_LENGTH = 200_000, 8 << 20, 256
+#: Characters of a text whose pieces are listed at once; a longer one's are encoded by so many pieces.
+LONG, GROUP = 1 << 20, 1 << 16
 #: Elements of the tree matrices that are worked on at once: what a core's cache holds.
 MATRIX = 1 << 16
 
@@ -42,7 +44,8 @@ class BpeCodec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         # \s as Unicode's White_Space, which the rank file's own library means by it
-        self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.find = self.pattern.findall
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -214,6 +217,12 @@ class BpeCodec:
             return memo
         return ChainMap(memo, dict(zip(long, (",".join(map(str, ids)) for ids in self.encode_pieces([p.encode() for p in long])), strict=True)))
 
+    def groups(self, text: str) -> Iterator[tuple[list[str], dict[str, str]]]:
+        """The pieces of a very long text, GROUP at a time, and their ids."""
+        found = self.pattern.finditer(text)
+        while group := [m[0] for m in islice(found, GROUP)]:
+            yield group, self.learn(set(group))
+
     def encode(self, text: str) -> list[int]:
         pieces = self.find(text)
         ids = self.learn(set(pieces))
@@ -257,17 +266,24 @@ def encode(docs: DataFrame, keep: list[str], rank_file: str | None = None, patte
         own = codec(shared.value, pattern)
         for batch in batches:
             for part in slices(batch, "__text"):
-                found = [own.find(t or "") for t in part.column("__text").to_pylist()]
+                texts = [t or "" for t in part.column("__text").to_pylist()]
+                found = [own.find(t) if len(t) <= LONG else [] for t in texts]
                 memo = own.learn(set(chain.from_iterable(found)))
                 counts, digests, decoded, ids = [], [], [], []
-                for pieces in found:
-                    joined = ",".join(map(memo.__getitem__, pieces))
-                    each = joined.split(",") if joined else []
-                    counts.append(len(each))
-                    digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join(map(own.text_of.__getitem__, each))).hexdigest())
-                    if with_ids:
-                        ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
+                for text, pieces in zip(texts, found, strict=True):
+                    digest, back, count, own_ids = hashlib.sha256(), hashlib.sha256(), 0, []
+                    for group, known in [(pieces, memo)] if len(text) <= LONG else own.groups(text):
+                        joined = ",".join(map(known.__getitem__, group))
+                        each = joined.split(",") if joined else []
+                        digest.update((("," if count else "") + joined).encode())
+                        back.update(b"".join(map(own.text_of.__getitem__, each)))
+                        count += len(each)
+                        if with_ids:
+                            own_ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
+                    counts.append(count)
+                    digests.append(digest.hexdigest())
+                    decoded.append(back.hexdigest())
+                    ids += own_ids
                 columns = [part.column(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -113,6 +113,25 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
         assert sum(len(k) + len(v) for k, v in own.memo.items()) < 30_000 and max(map(len, own.memo)) <= bpe.MEMO_LENGTH
 
 
+def test_long_texts_are_encoded_by_groups(spark, monkeypatch):
+    import hashlib
+
+    raw, pattern = bpe.tokenizer()
+    own = bpe.BpeCodec(bpe.parse_ranks(raw), pattern)
+    rng = random.Random(3)
+    text = "".join(rng.choice(["some ", "wörds", " and", "\n\n", "漢字", " 12", "!?", "x" * 300]) for _ in range(900))
+    whole = own.encode(text)
+    monkeypatch.setattr(bpe, "GROUP", 7)
+    assert [int(x) for group, ids in own.groups(text) for p in group for x in ids[p].split(",")] == whole
+    long = text * 500  # over LONG characters
+    assert len(long) > bpe.LONG
+    r = bpe.encode(frame(spark, [(1, long), (2, text), (3, "")]), ["doc_id"]).collect()
+    ids = own.encode(long)
+    assert r[0]["ids"] == ids and r[0]["n_tokens"] == len(ids) and r[1]["ids"] == whole and r[2]["ids"] == []
+    assert r[0]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert r[0]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("text", ["eyJ" * 350_000, "eyJ." * 260_000, "eyJeyJ." * 150_000, "a: -----BEGIN PRIVATE KEY-----\n" * 33_000, "token " * 170_000, "-----BEGIN PRIVATE KEY-----" + "\n" * 100_000, "-----BEGIN PRIVATE KEY-----\n" + "A: b\n" * 100_000])
 def test_secrets_in_linear_time(text):
     began = time.perf_counter()
