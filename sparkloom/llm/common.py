@@ -85,26 +85,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = to
 
 
-#: Batches of a task's result between two times that freed memory is given back.
-FREE_EVERY = 16
-
-
-def free() -> None:
-    """Gives freed memory back to the system."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def tidy(run: Callable) -> Callable:
-    """A mapInArrow function that gives back freed memory now and then and when its task ends: workers are used again."""
+    """A mapInArrow function that gives back freed memory when its task ends: workers are used again by later stages."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(run(batches), 1):
-            yield batch
-            if n % FREE_EVERY == 0:
-                free()
-        free()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
 
     return out
 
