@@ -377,7 +377,7 @@ def knn(train: DataFrame, test: DataFrame, k: int = 3, strategy: str = "topk") -
     of a test row in the task that it is shuffled to."""
     if strategy == "topk":
         return vote(nearest_cells(train, test, k))
-    return vote(nearest(distances(train, test), k, partial=False))
+    return vote(ranked(train, test, k))
 
 
 def labelled(predictions: DataFrame, test: DataFrame) -> DataFrame:

@@ -39,6 +39,6 @@ def test_all_pairs_in_a_task(spark, monkeypatch, seed, n, ids, asked):
 
 def test_no_pairs_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(knn, "distances", lambda *_: pytest.fail("pairs are joined"))
-    for name in ("knn_distances",):
+    for name in ("knn_distances", "knn_predict_shuffle"):
         plan = sinks.plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"), "simple")
         assert "NestedLoop" not in plan and "Cartesian" not in plan
