@@ -142,15 +142,21 @@ class Network:
         """Sums of the probabilities of the bytes start..end - 1 of each window, read from low to high; data is lower-cased."""
         out = np.zeros((len(start), len(self.languages)))
         order = np.argsort(end - start, kind="stable")
-        own = {k: np.ascontiguousarray(v.T) for k, v in self.p.items()}
+        h, own = self.hidden, {k: np.ascontiguousarray(v.T) for k, v in self.p.items() if k in ("out", "bias")}
+        for d in "fb":
+            x, g = self.p[f"x{d}"], self.p[f"g{d}"]
+            # a sigmoid is 1 / (1 + exp(-x)), a hyperbolic tangent 1 - 2 / (1 + exp(2 * x)): sign and factor are in the tables
+            tables = -x[:, :h], -x[:, h : 2 * h], 2 * x[:, 2 * h :], -g[:, :h], -g[:, h:], 2 * self.p[f"c{d}"]
+            own[d] = [np.ascontiguousarray(v) for v in tables]
         for a in range(0, len(order), TOGETHER):
             at = order[a : a + TOGETHER]
             s, e, steps = start[at], end[at], int((end[at] - start[at]).max())
-            f = self._states("f", own, data, s - CONTEXT, 1, low[at], e, steps)
-            b = self._states("b", own, data, s + steps + CONTEXT - 1, -1, s, high[at], steps)
+            with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+                f = self._states("f", own, data, s - CONTEXT, 1, low[at], e, steps)
+                b = self._states("b", own, data, s + steps + CONTEXT - 1, -1, s, high[at], steps)
             sums = np.zeros((len(self.languages), len(at)), np.float32)
             for t in range(steps):
-                prob = own["out"][:, : self.hidden] @ f[t] + own["out"][:, self.hidden :] @ b[steps - 1 - t] + own["bias"][:, None]
+                prob = own["out"][:, :h] @ f[t].T + own["out"][:, h:] @ b[steps - 1 - t].T + own["bias"][:, None]
                 prob -= prob.max(0)
                 np.exp(prob, out=prob)
                 prob /= prob.sum(0)
@@ -160,27 +166,33 @@ class Network:
         return out
 
     def _states(self, d: str, own: dict, data: np.ndarray, first: np.ndarray, way: int, low: np.ndarray, high: np.ndarray, steps: int) -> list[np.ndarray]:
-        """States (units x windows) after each of the last `steps` steps of a direction; places outside low..high - 1 change nothing."""
-        h = self.hidden
-        state = np.zeros((h, len(first)), np.float32)
+        """States (windows x units) after each of the last `steps` steps of a direction; places outside low..high - 1 change nothing."""
+        xz, xr, xc, gz, gr, c = own[d]
+        shape = (len(first), self.hidden)
+        state = np.zeros(shape, np.float32)
+        z, r, cand, read = (np.empty(shape, np.float32) for _ in range(4))
         out = []
         for t in range(CONTEXT + steps):
             place = first + way * t
             inside = (place >= low) & (place < high)
-            x = np.take(own[f"x{d}"], data[np.where(inside, place, 0)], axis=1)
-            gates = own[f"g{d}"] @ state
-            gates += x[: 2 * h]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            cand = own[f"c{d}"] @ (gates[h:] * state)
-            cand += x[2 * h :]
-            np.tanh(cand, out=cand)
+            byte = data[np.where(inside, place, 0)].astype(np.intp)
+            for gate, table, weights in ((z, xz, gz), (r, xr, gr)):
+                np.matmul(state, weights, out=gate)
+                gate += np.take(table, byte, axis=0, out=read, mode="clip")  # bytes are never outside: not looked at twice
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+            r *= state
+            np.matmul(r, c, out=cand)
+            cand += np.take(xc, byte, axis=0, out=read, mode="clip")
+            np.exp(cand, out=cand)
+            cand += 1
+            np.divide(-2, cand, out=cand)
+            cand += 1
             cand -= state
-            cand *= gates[:h]
+            cand *= z
             if not inside.all():
-                cand *= inside
+                cand *= inside[:, None]
             state = state + cand
             if t >= CONTEXT:
                 out.append(state)

@@ -338,3 +338,18 @@ def test_every_label_is_learned(spark):
     docs = spark.createDataFrame([(i, f"l{i % 300:03d}", "text of it " * 3) for i in range(1500)], "doc_id long, lang string, text string")
     network = langid.learn(docs, 2, 300, 1)
     assert network.languages == sorted({f"l{i % 300:03d}" for i in range(1500) if zlib.crc32(str(i).encode()) % 4 != 2})
+
+
+def test_prediction_without_tangents(monkeypatch):
+    """Windows are labelled as in training, by exponentials only, which cost a third; large weights overflow to the same limits."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 40).astype(np.uint8)
+    for scale in (1, 400):
+        network = langid.Network(["a", "b", "c"])
+        for k in network.p:
+            network.p[k] = network.p[k] * np.float32(scale if k[0] in "xgc" else 1)
+        want = network.label(data[None], np.array([40]))[0].sum(0)
+        with monkeypatch.context() as m:
+            m.setattr(langid.np, "tanh", lambda *_, **__: pytest.fail("tanh"))
+            got = network.totals(data, np.array([0]), np.array([0]), np.array([40]), np.array([40]))
+        assert np.allclose(got, want, atol=1e-3)
